@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, exact_dedup
+from quire.llm import bpe, chat, exact_dedup, packing
+from quire.llm.common import map_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_formatted(chat.format_conversations(rows.unionByName(tricky), chat.production()))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens; one row per piece."""
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its group of equal texts."""
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
@@ -42,10 +54,47 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, rn = 1 AS kept
 """
 
 
+def _bpe_digests(decoded: DataFrame) -> DataFrame:
+    """Digests of ids and decoded bytes; the decimal text of the ids is made batch by batch."""
+    kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        shown: dict[int, str] = {}
+
+        def text(ids: list[int]) -> bytes:
+            for i in set(ids):
+                if i not in shown:
+                    shown[i] = str(i)
+            return " ".join(map(shown.__getitem__, ids)).encode()
+
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids = batch.column(1).to_pylist()
+            columns = [
+                batch.column(0),
+                pa.array(list(map(len, ids)), pa.int64()),
+                pa.array([hashlib.sha256(text(x)).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=kind)
+
+        return each
+
+    return map_batches(decoded, make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to ids and decoded again, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return _bpe_digests(bpe.decode_ids(encoded, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op5_packing": op5_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
