@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, exact_dedup, packing
-from quire.llm.common import map_batches
+from quire.llm import bpe, chat, exact_dedup, langid, mpeg_audio, packing, toxicity
+from quire.llm.common import held_out, map_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_formatted(chat.format_conversations(rows.unionByName(tricky), chat.production()))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from the documents that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs.filter(~held_out())))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens; one row per piece."""
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -54,6 +66,28 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, rn = 1 AS kept
 """
 
 
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an MPEG audio stream and read back, as digests and features."""
+    read = mpeg_audio.decode_media(mpeg_audio.encode_media(_table(spark, sf_dir, "documents")))
+    tail = F.substring("payload", -32, 32)
+    feature = F.concat_ws(
+        ";", "seek_table", "frames", "table_frames", "sample_rate", "samples", "duration_us", "checked", "bad_checks", "skipped_bytes",
+        F.element_at("frame_offsets", 1), F.element_at("frame_offsets", -1), F.element_at("tags", "TIT2"),
+    )
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+        "frames",
+        "duration_us",
+    )
+
+
 def _bpe_digests(decoded: DataFrame) -> DataFrame:
     """Digests of ids and decoded bytes; the decimal text of the ids is made batch by batch."""
     kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -92,8 +126,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_toxicity": op2_toxicity,
+        "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_mpeg_audio": op9_mpeg_audio,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
