@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, exact_dedup, langid, mpeg_audio, packing, toxicity
+from quire.llm import bpe, chat, exact_dedup, langid, mpeg_audio, packing, toxicity, warc
 from quire.llm.common import held_out, map_batches
 
 
@@ -66,6 +66,26 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, rn = 1 AS kept
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder, and what is read back of them."""
+    rows = warc.with_revisits(_table(spark, sf_dir, "pages"))
+    folder = warc.shared_folder(rows, "warc")
+    return warc.page_records(warc.read_archives(warc.write_archives(rows, folder), folder))
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an MPEG audio stream and read back, as digests and features."""
     read = mpeg_audio.decode_media(mpeg_audio.encode_media(_table(spark, sf_dir, "documents")))
@@ -130,10 +150,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_warc": op7_warc,
         "op9_mpeg_audio": op9_mpeg_audio,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL}
