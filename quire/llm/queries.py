@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, exact_dedup, langid, mpeg_audio, packing, toxicity, warc
+from quire.llm import bpe, chat, exact_dedup, langid, mpeg_audio, ngram_join, packing, toxicity, warc
 from quire.llm.common import held_out, map_batches
 
 
@@ -33,6 +33,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links of 90 % of three-word shingles."""
+    return ngram_join.components_of(_table(spark, sf_dir, "documents"), ngram_join.Rule(3, 90))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learnt from the documents that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -147,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_toxicity": op2_toxicity,
+        "op3_ngram_join": op3_ngram_join,
         "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
         "op6_exact_dedup": op6_exact_dedup,
