@@ -150,15 +150,15 @@ def _signature(found: np.ndarray) -> int:
 
 
 def _described(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
-    """(id, n, digest, sig, prefix) of every row; the prefix is a binary of hashes, rarest first; digest is null for empty sets."""
-    kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.int64()), ("prefix", pa.binary())])
+    """(id, th, n, digest, sig, prefix) of every row (th: a hash of its text); the prefix is a binary of hashes, rarest first; digest is null for empty sets."""
+    kind = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.int64()), ("prefix", pa.binary())])
 
     def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         shingle = Shingler(rule.n)
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             out: list[list[Any]] = [[], [], [], []]
-            for text in strings(batch.column(1)):
+            for text in strings(batch.column(2)):
                 found = shingle(text)
                 n = len(found)
                 if n:
@@ -168,11 +168,11 @@ def _described(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
                     row = (0, None, 0, None)
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(out, list(kind)[1:], strict=True))], schema=kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(out, list(kind)[2:], strict=True))], schema=kind)
 
         return each
 
-    return map_batches(docs.select("id", "text"), make, "id bigint, n bigint, digest binary, sig bigint, prefix binary")
+    return map_batches(docs.select("id", F.xxhash64("text").alias("th"), "text"), make, "id bigint, th bigint, n bigint, digest binary, sig bigint, prefix binary")
 
 
 _ENTRY = "h bigint, size int, node bigint, pos int, sig bigint"
@@ -459,7 +459,7 @@ def components(links: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- the join
 @dataclass
 class Joined:
-    """rows: (id, n, digest) of every document; classes: (node, digest, first_id, copies, label); links between classes."""
+    """rows: (id, th, n, digest) of every document; classes: (node, digest, first_id, copies, label); links between classes."""
 
     rows: DataFrame
     classes: DataFrame
@@ -487,7 +487,7 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
         links = links.unionByName(_verified(source, nodes, more, rule))
         labels = checkpointed(components(links))
     classes = nodes.select("node", "digest", "first_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return Joined(described.select("id", "n", "digest"), classes, links)
+    return Joined(described.select("id", "th", "n", "digest"), classes, links)
 
 
 def components_of(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -498,3 +498,20 @@ def components_of(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
     return found.rows.join(classes, F.col("digest") == F.col("d"), "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id (null ids last), of such rows
+    the one whose text's hash is smallest, and one of repeated rows; every row with an empty set."""
+    found = join(docs, rule, id_col, text_col)
+    rows = found.rows.filter("digest is not null").join(found.classes.select(F.col("digest").alias("d"), "label"), F.col("digest") == F.col("d"))
+    alike = rows.groupBy("label", "id", "th").agg(F.count(F.lit(1)).alias("times"))
+    best = checkpointed(alike.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "times")).alias("k")).select("k.id", "k.th", "k.times"))
+    keys = best.select(F.col("id").alias("_keep_id"), F.col("th").alias("_keep_th"), F.col("times").alias("_keep_times"))
+    own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    own = own.withColumns({"_th": F.xxhash64("_text"), "_empty": F.regexp_replace(F.coalesce("_text", F.lit("")), r"[\x20\x09-\x0D]+", "") == ""}).drop("_text")
+    kept = own.filter("not _empty").join(keys, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_th") == F.col("_keep_th")))
+    out = own.filter("_empty").select("_doc.*").unionByName(kept.filter("_keep_times = 1").select("_doc.*"))
+    if best.filter("times > 1").limit(1).count() == 0:
+        return out
+    return out.unionByName(kept.filter("_keep_times > 1").dropDuplicates(["_keep_id", "_keep_th"]).select("_doc.*"))

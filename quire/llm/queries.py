@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, exact_dedup, langid, mpeg_audio, ngram_join, packing, toxicity, warc
+from quire.llm import bpe, chat, exact_dedup, langid, licenses, mpeg_audio, ngram_join, packing, toxicity, warc
 from quire.llm.common import held_out, map_batches
 
 
@@ -91,6 +91,37 @@ FROM g
 """
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _disguised() -> list[tuple[int, str]]:
+    """Known licences in other spellings, with ids from -1 downwards: no document of the tables is a licence as a whole."""
+    out = []
+    for i, (_, text) in enumerate(sorted(licenses.KNOWN.items()), 1):
+        text = text.replace("Copyright (c) <year>", "  COPYRIGHT (C) 1999-2024").replace("NONINFRINGEMENT", "non-infringement")
+        out.append((-i, text.replace(", ", " ,  ").replace("sublicense", "sub-license").replace('"', "``")))
+    return out
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and disguised copies of the known licences, looked up by canonical digest."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(rows.unionByName(spark.createDataFrame(_disguised(), "doc_id bigint, text string")))
+
+
+OP8_SQL = f"""
+WITH known AS (
+  SELECT min(license_id) AS license_id, sha256({licenses.canonical_sql("body")}) AS canonical_sha256
+  FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in licenses.KNOWN.items())}) t(license_id, body) GROUP BY 2
+), d AS (
+  SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS canonical_sha256
+  FROM (SELECT doc_id, text FROM documents UNION ALL VALUES {", ".join(f"({i}, {_sql_text(t)})" for i, t in _disguised())}) u
+)
+SELECT doc_id, canonical_sha256, license_id FROM d LEFT JOIN known USING (canonical_sha256)
+"""
+
+
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an MPEG audio stream and read back, as digests and features."""
     read = mpeg_audio.decode_media(mpeg_audio.encode_media(_table(spark, sf_dir, "documents")))
@@ -157,10 +188,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_warc": op7_warc,
+        "op8_license_scan": op8_license_scan,
         "op9_mpeg_audio": op9_mpeg_audio,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_license_scan": OP8_SQL}
