@@ -19,6 +19,7 @@ import bisect
 import functools
 import heapq
 import os
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -35,10 +36,16 @@ END_ID = 1
 #: Tokens packed in one round of a task, and sequences in a step group.
 ROUND_TOKENS, STEP_SEQUENCES = 2_000_000, 64
 #: Entries of the token cache of a Python worker, and the longest cached word.
-MAX_CACHED, CACHED_CHARS = 400_000, 40
+MAX_CACHED, CACHED_CHARS = 1_000_000, 40
 
 #: Characters that Python's str.split takes for white space and the tokenizer doesn't.
-_ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Texts of these characters alone may be put in lower case before the tokenizer does so itself, with the same result.
+_NOT_PLAIN = re.compile("[^\x00-\u024f\u2000-\u206f\u20ac]")
+#: A full stop or comma between a letter and white space is a token of its own.
+_STOP = re.compile(r"(?<=[^\W\d_\u0130])([.,])(?=\s|\Z)")
+#: Words that are given to the tokenizer as one text.
+JOINED = 256
 
 
 class WordTokenizer:
@@ -50,21 +57,47 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _words(self, text: str) -> list[str]:
+        if _ODD_SPACE.search(text):
+            return [text]
+        if not _NOT_PLAIN.search(text):
+            text = text.lower()
+        return _STOP.sub(r" \1", text).split()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words. Words of letters have one end each, so many are encoded as one text and told apart by their ends."""
+        letters = [w for w in words if w.isalpha()]
+        out: dict[str, bytes] = {}
+        groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+        made = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, made, strict=True):
+            ids = np.array(encoding.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(group):
+                data = ids.tobytes()
+                bounds = [0, *ends.tolist()]
+                out.update((w, data[a:b]) for w, a, b in zip(group, bounds, bounds[1:], strict=False))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._each(rest), strict=True))
+        return out
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         cache = self.cache
         if len(cache) > MAX_CACHED:
             cache.clear()
-        words = [[t] if any(c in t for c in _ODD_SPACE) else t.split() for t in texts]
-        missing = list({w for ws in words for w in ws if w not in cache})
-        own = dict(zip(missing, self._encode(missing), strict=True))
-        out = [b"".join([cache[w] if w in cache else own[w] for w in ws]) for ws in words]
+        words = [self._words(t) for t in texts]
+        own = self._encode(list({w for ws in words for w in ws if w not in cache}))
+        get, other = cache.get, own.get
+        out = [b"".join([get(w) or other(w, b"") for w in ws]) for ws in words]
         cache.update((w, ids) for w, ids in own.items() if len(w) <= CACHED_CHARS)
         return out
 
