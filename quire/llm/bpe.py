@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import map_batches, strings
 
 #: Entries of the pair table and the piece cache of a Python worker, and the longest cached cut.
-MAX_PAIRS, MAX_CACHED, CACHED_CHARS = 1_000_000, 400_000, 40
+MAX_PAIRS, MAX_CACHED, CACHED_CHARS = 1_000_000, 600_000, 40
 
 
 class Vocabulary:
@@ -51,7 +51,7 @@ class Vocabulary:
                 self.pairs[made] = rank
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self._side_by_side: dict[tuple[int, int], bool] = {}
+        self._side_by_side: dict[int, bool] = {}  # by both tokens in one number
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """Merges a token's bytes, lowest rank first, with the ranks below its own; its halves if two parts are left."""
@@ -74,9 +74,6 @@ class Vocabulary:
         Undoes merges of both tokens along their border, latest merge first: if at some moment the two border tokens
         could have been merged before either of the merges still to come, the pair can't stand.
         """
-        known = self._side_by_side.get((left, right))
-        if known is not None:
-            return known
         a, b = left, right
         before = 1 << 60  # a merge across the border counts if its rank is lower than this
         ok = True
@@ -94,19 +91,25 @@ class Vocabulary:
                 before, b = b + 1, hb[0]
         if len(self._side_by_side) >= MAX_PAIRS:
             self._side_by_side.clear()
-        self._side_by_side[(left, right)] = ok
+        self._side_by_side[left << 32 | right] = ok
         return ok
 
     def extend(self, data: bytes, last: list[int], start: int, stop: Callable[[int], bool] | None = None) -> None:
         """Fills ``last`` (the last token of every prefix, by its length) from prefix length start + 1 on."""
+        tokens, done, known = self.tokens, start, self._side_by_side.get
         behind = max(0, start - self.longest + 1)
-        tokens, done, side = self.tokens, start, self.side_by_side
         for end, (size, token) in self.automaton.iter(data[behind:].decode("latin-1")):
             at = end + behind + 1
             if at <= done:
                 continue
             before = at - size
-            if before == 0 or side(last[before], token):
+            if before:
+                ok = known(last[before] << 32 | token)
+                if ok is None:
+                    ok = self.side_by_side(last[before], token)
+            else:
+                ok = True
+            if ok:
                 last.append(token)
                 done = at
                 if stop is not None and stop(at):
@@ -200,17 +203,29 @@ class TextEncoder:
         self.cache: dict[str, bytes] = {}
 
     def _cut(self, cut: str) -> bytes:
-        ids: list[int] = []
-        encode = self.vocabulary.encode
-        for piece in self.pieces.findall(cut):
-            ids += encode(piece.encode())
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(cut) <= CACHED_CHARS:
+        """The ids of a cut that isn't cached."""
+        short = len(cut) <= CACHED_CHARS
+        word = cut[1:] if cut[0] == " " else cut
+        if word.isalpha():  # one piece
+            out = np.array(self.vocabulary.encode(cut.encode()), dtype="<u4").tobytes()
+        elif short and cut[-1] in ".,;:!?" and cut[-2:-1].isalpha():  # a border of pieces lies between them
+            out = self._known(cut[:-1]) + self._known(cut[-1])
+        elif short and cut[0] == "\n" and len(cut) > 1 and not cut[1].isspace():  # and here
+            out = self._known("\n") + self._known(cut[1:])
+        else:
+            ids: list[int] = []
+            for piece in self.pieces.findall(cut):
+                ids += self.vocabulary.encode(piece.encode())
+            out = np.array(ids, dtype="<u4").tobytes()
+        if short:
             if len(self.cache) >= MAX_CACHED:
                 self.cache.clear()
             self.cache[cut] = out
         return out
 
+    def _known(self, cut: str) -> bytes:
+        return self.cache.get(cut) or self._cut(cut)
+
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         if _ODD_SPACE.search(text):
@@ -238,16 +253,27 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     return map_batches(source, make, "doc_id bigint, ids array<int>")
 
 
+@functools.lru_cache(maxsize=2)
+def load_tokens(path: str) -> list[bytes]:
+    """The tokens by id, which is all that decoding needs."""
+    with open(path, "rb") as lines:
+        known = {int(r): base64.b64decode(t) for t, r in map(bytes.split, lines)}
+    return [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
+
+
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded binary``, the bytes that the ids stand for."""
     kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        vocabulary = load(path)
+        token = load_tokens(path).__getitem__
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            decoded = [vocabulary.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(kind.field(1).type), pa.array(decoded, pa.binary())], schema=kind)
+            ids = batch.column(1)
+            ends = ids.offsets.to_numpy()
+            values = ids.values.to_numpy(zero_copy_only=False)
+            decoded = [b"".join(map(token, values[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids.cast(kind.field(1).type), pa.array(decoded, pa.binary())], schema=kind)
 
         return each
 

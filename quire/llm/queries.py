@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, chat, exact_dedup, langid, licenses, mpeg_audio, ngram_join, packing, toxicity, warc
-from quire.llm.common import held_out, map_batches
+from quire.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,39 +142,16 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _bpe_digests(decoded: DataFrame) -> DataFrame:
-    """Digests of ids and decoded bytes; the decimal text of the ids is made batch by batch."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        shown: dict[int, str] = {}
-
-        def text(ids: list[int]) -> bytes:
-            for i in set(ids):
-                if i not in shown:
-                    shown[i] = str(i)
-            return " ".join(map(shown.__getitem__, ids)).encode()
-
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids = batch.column(1).to_pylist()
-            columns = [
-                batch.column(0),
-                pa.array(list(map(len, ids)), pa.int64()),
-                pa.array([hashlib.sha256(text(x)).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=kind)
-
-        return each
-
-    return map_batches(decoded, make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to ids and decoded again, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode_texts(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return _bpe_digests(bpe.decode_ids(encoded, path))
+    return bpe.decode_ids(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
