@@ -34,6 +34,7 @@ MIN_REVISIT, ARCHIVE_BYTES, LEVEL = 100, 32 << 20, 1
 
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_FIELD = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 _END = b"\r\n\r\n"
 
 
@@ -87,7 +88,7 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     headers = {}
     for line in data[at:split].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or not _FIELD.fullmatch(name):
             raise Damaged("malformed header line")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
