@@ -25,7 +25,7 @@ WORDS_SQL = f"""{LINES_SQL}, parts AS (
   WHERE text <> ''
 )"""
 MARKS_SQL = f"""{WORDS_SQL}, marks AS (
-  SELECT doc_id, line_no, word_no, text, 10.0 * col_no AS llx, -12.0 * line_no - 12.0 AS lly, 10.0 * (col_no + length(text)) AS urx, -12.0 * line_no AS ury FROM words
+  SELECT doc_id, line_no, word_no, text, CAST(10 * col_no AS DOUBLE) AS llx, CAST(-12 * line_no - 12 AS DOUBLE) AS lly, CAST(10 * (col_no + length(text)) AS DOUBLE) AS urx, CAST(-12 * line_no AS DOUBLE) AS ury FROM words
 )"""
 
 
@@ -48,7 +48,7 @@ def marks(docs: DataFrame) -> DataFrame:
     return words(docs).select(
         "doc_id", "line_no", "word_no", "text",
         (at * ADVANCE).alias("llx"), (F.col("line_no") * -LEADING - LEADING).alias("lly"),
-        ((at + size) * ADVANCE).alias("urx"), (F.col("line_no") * -LEADING).alias("ury"),
+        ((at + size) * ADVANCE).alias("urx"), (F.lit(0.0) - F.col("line_no") * LEADING).alias("ury"),
     )
 
 

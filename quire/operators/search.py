@@ -7,6 +7,15 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A word boundary of ASCII letters, digits and underscores, which is what ``\\b`` means in RE2; Java's looks at all letters.
+BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def java(pattern: str) -> str:
+    """A pattern of the common subset as Java reads it with the same result."""
+    return pattern.replace(r"\b", BOUNDARY)
+
+
 #: Standard categories of sensitive text, each with a pattern of our own.
 STANDARD: dict[str, str] = {
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
@@ -65,18 +74,18 @@ def counts(docs: DataFrame, patterns: Mapping[str, str], keys: list[str], text_c
 
     The patterns are literals, so each is compiled once; every text is read once and only counts leave the row.
     """
-    each = F.array(*(F.struct(F.lit(c).alias("category"), F.regexp_count(text_col, F.lit(p)).cast("bigint").alias("n")) for c, p in patterns.items()))
+    each = F.array(*(F.struct(F.lit(c).alias("category"), F.regexp_count(text_col, F.lit(java(p))).cast("bigint").alias("n")) for c, p in patterns.items()))
     return docs.select(*keys, F.inline(each)).groupBy(*keys, "category").agg(F.sum("n").alias("n"))
 
 
 def found(text: Column, pattern: str) -> Column:
     """All matches of a pattern that don't overlap, in order."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
 
 
 def matches(docs: DataFrame, pattern: str, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, n, start, end, match): every match with its place in characters from 0; places follow from the texts between the matches."""
-    between, hits = F.split(text_col, pattern, -1), found(F.col(text_col), pattern)
+    between, hits = F.split(text_col, java(pattern), -1), found(F.col(text_col), pattern)
     df = docs.select(id_col, between.alias("b"), hits.alias("h")).filter(F.size("h") > 0)
     pairs = F.zip_with("h", F.slice("b", F.lit(1), F.size("h")), lambda h, b: F.struct(h.alias("match"), F.length(b).alias("gap")))
     each = df.select(id_col, F.posexplode(pairs).alias("n", "p")).select(id_col, "n", "p.match", "p.gap")
@@ -88,5 +97,14 @@ def matches(docs: DataFrame, pattern: str, id_col: str, text_col: str = "text")
 def redact(text: Column, patterns: Iterable[str], mark: str = "█") -> Column:
     """A text with every match replaced by one mark; patterns are applied in order."""
     for p in patterns:
-        text = F.regexp_replace(text, p, mark)
+        text = F.regexp_replace(text, java(p), mark)
     return text
+
+
+def audit(docs: DataFrame, patterns: Mapping[str, str], id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, category, match): every match of every pattern."""
+
+    def one(category: str, pattern: str) -> Column:
+        return F.transform(found(F.col(text_col), pattern), lambda m: F.struct(F.lit(category).alias("category"), m.alias("match")))
+
+    return docs.select(id_col, F.inline(F.flatten(F.array(*(one(c, p) for c, p in patterns.items())))))

@@ -23,7 +23,7 @@ _KEY_SQL = "l_orderkey, l_linenumber"
 
 
 @query(
-    f"""SELECT {_KEY_SQL}, round(l_extendedprice * (1.0 - l_discount) * (1.0 + l_tax), 4) AS charged, CAST(l_quantity AS BIGINT) // 7 AS sevens,
+    f"""SELECT {_KEY_SQL}, round(l_extendedprice * (1.0 - l_discount) * (1.0 + l_tax), 6) AS charged, CAST(l_quantity AS BIGINT) // 7 AS sevens,
     CAST(l_quantity AS BIGINT) % 7 AS rest, abs(-l_quantity) AS magnitude FROM lineitem"""
 )
 def ps_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def ps_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"), ("l_quantity", "double")],
         ["sevens", "rest", "magnitude", "charged"], _KEY,
     )
-    return out.withColumn("charged", F.round("charged", 4))
+    return out.withColumn("charged", F.round("charged", 6))
 
 
 @query(
@@ -74,7 +74,7 @@ def ps_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT {_KEY_SQL}, CASE WHEN l_quantity > 40 THEN l_extendedprice * 0.9 ELSE CASE WHEN l_quantity > 20 THEN l_extendedprice * 0.95 ELSE l_extendedprice END END AS price
+    f"""SELECT {_KEY_SQL}, CASE WHEN l_quantity > 40 THEN l_extendedprice * 0.9::DOUBLE ELSE CASE WHEN l_quantity > 20 THEN l_extendedprice * 0.95::DOUBLE ELSE l_extendedprice END END AS price
     FROM lineitem"""
 )
 def ps_cond(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,8 @@ def ps_trig(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, round(10 + power(least(greatest(value / 100.0, 0), 1), 2) * (200 - 10), 6) AS exponential,
-    round(CASE WHEN least(greatest(value / 100.0, 0), 1) < 0.5 THEN least(greatest(value / 100.0, 0), 1) * 2 ELSE 2 - least(greatest(value / 100.0, 0), 1) * 2 END, 6) AS stitched FROM events"""
+    """SELECT event_id, round(10 + power(least(greatest(value / 100.0, 0), 1), 2) * (200 - 10), 10) AS exponential,
+    round(CASE WHEN least(greatest(value / 100.0, 0), 1) < 0.5 THEN least(greatest(value / 100.0, 0), 1) * 2 ELSE 2 - least(greatest(value / 100.0, 0), 1) * 2 END, 10) AS stitched FROM events"""
 )
 def interpolation_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential interpolation (type 2) and stitching (type 3) functions as expressions."""
@@ -109,6 +109,6 @@ def interpolation_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [lambda t: exponential(t, 0.0, 1.0, 1), lambda t: exponential(t, 1.0, 0.0, 1)]
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.round(exponential(x, 10.0, 200.0, 2), 6).alias("exponential"),
-        F.round(stitching(x, parts, [0.5], [(0.0, 1.0), (0.0, 1.0)]), 6).alias("stitched"),
+        F.round(exponential(x, 10.0, 200.0, 2), 10).alias("exponential"),
+        F.round(stitching(x, parts, [0.5], [(0.0, 1.0), (0.0, 1.0)]), 10).alias("stitched"),
     )

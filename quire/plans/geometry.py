@@ -34,7 +34,7 @@ def affine_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, round((360 - p_size * 7 % 360) % 360, 4) AS angle, round(CAST(1 + p_size % 3 AS DOUBLE), 6) AS sx, round(2.0, 6) AS sy FROM part"""
+    """SELECT p_partkey, round((360 - p_size * 7 % 360) % 360, 4) AS angle, round(CAST(1 + p_size % 3 AS DOUBLE), 6) AS sx, CAST(2 AS DOUBLE) AS sy FROM part"""
 )
 def affine_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angle and scaling factors of a scaled rotation."""
@@ -85,7 +85,7 @@ def lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(G.remap(v, 0, 100, 10, 20), 6).alias("mapped"), F.round(G.distance(v, 4, 3, 0), 6).alias("dist"), F.round(G.round_to(v, 0.25), 6).alias("quarter"))
 
 
-@query("SELECT * FROM (VALUES (1, 0.0, 10.0), (2, -0.384900, 0.384900), (3, 0.0, 7.5)) t(k, low, high)")
+@query("SELECT k, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM (VALUES (1, 0.0, 10.0), (2, -0.3849, 0.3849), (3, 0.0, 7.5)) t(k, low, high)")
 def curve_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds of cubic curves from the roots of the derivative."""
     df = spark.createDataFrame([(1, 0.0, 1.0, 9.0, 10.0), (2, 0.0, 4 / 3, -4 / 3, 0.0), (3, 0.0, 10.0, 10.0, 0.0)], "k int, p0 double, p1 double, p2 double, p3 double")

@@ -45,17 +45,12 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_examples(spark, sf_dir).select("doc_id", S.redact(F.col("text"), S.STANDARD.values()).alias("redacted"))
 
 
-_EMAIL, _IP = S.STANDARD["email"], S.STANDARD["ipv4"]
-
-
 @query(
     " UNION ALL ".join(f"SELECT doc_id, {_quoted(c)} AS category, unnest(regexp_extract_all(text, {_quoted(S.STANDARD[c])})) AS match FROM {_WITH_EXAMPLES} d" for c in S.STANDARD)
 )
 def redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every match that redaction would take out."""
-    df = _with_examples(spark, sf_dir)
-    each = F.flatten(F.array(*(F.transform(S.found(F.col("text"), p), lambda m, c=c: F.struct(F.lit(c).alias("category"), m.alias("match"))) for c, p in S.STANDARD.items())))
-    return df.select("doc_id", F.inline(each))
+    return S.audit(_with_examples(spark, sf_dir), S.STANDARD, "doc_id")
 
 
 @query(
@@ -71,7 +66,7 @@ def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, regexp_replace(text, '([aeiou])r\\b', '\\1R', 'g') AS text FROM conversations WHERE turn < 2")
 def replace_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern replaced on chosen pages."""
-    return table(spark, sf_dir, "conversations").filter("turn < 2").select("conv_id", "turn", F.regexp_replace("text", r"([aeiou])r\b", "$1R").alias("text"))
+    return table(spark, sf_dir, "conversations").filter("turn < 2").select("conv_id", "turn", F.regexp_replace("text", S.java(r"([aeiou])r\b"), "$1R").alias("text"))
 
 
 @query(sanitize.SQL)

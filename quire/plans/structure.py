@@ -137,10 +137,11 @@ def table_skip_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few.select("p_partkey", F.floor(n / 4).cast("int").alias("y"), (n % 4).cast("int").alias("x"), F.when(F.col("p_size") > 25, 2).otherwise(1).alias("colspan"))
 
 
-@query("SELECT l_orderkey, round(sum(l_extendedprice), 2) AS subtotal, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS total FROM lineitem GROUP BY 1")
+_PRICE, _NET, _GROSS = "CAST(l_extendedprice AS DECIMAL(12,2))", "(1 - CAST(l_discount AS DECIMAL(4,2)))", "(1 + CAST(l_tax AS DECIMAL(4,2)))"
+_TOTALS = [f"CAST(sum({_PRICE}) AS DOUBLE) AS subtotal", f"CAST(sum({_PRICE} * {_NET}) AS DOUBLE) AS net", f"CAST(sum({_PRICE} * {_NET} * {_GROSS}) AS DOUBLE) AS total"]
+
+
+@query(f"SELECT l_orderkey, {', '.join(_TOTALS)} FROM lineitem GROUP BY 1")
 def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total lines of invoices."""
-    p, d, t = (F.col(f"l_{x}") for x in ("extendedprice", "discount", "tax"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.round(F.sum(p), 2).alias("subtotal"), F.round(F.sum(p * (1 - d)), 2).alias("net"), F.round(F.sum(p * (1 - d) * (1 + t)), 2).alias("total")
-    )
+    """Total lines of invoices, in exact decimals."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*map(F.expr, _TOTALS))
