@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -41,6 +42,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of tables that nothing refers to any more.
+
+    The driver otherwise notices that they are unused only when its own garbage happens to be collected.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True where crc32 of the id's decimal text is divisible by 5 (null ids count as empty text)."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

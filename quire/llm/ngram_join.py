@@ -2,9 +2,9 @@
 
 Texts with the same set of n-grams form a class; classes are joined, copies are not. All documents' n-grams are counted in a sketch of
 fixed size, and a class's n-grams are ordered by that count, rarest first. Two sets that are similar enough share an n-gram in their
-prefixes of this order (prefix filter). Prefix entries meet by n-gram; pairs pass the length filter, the positional filter
-(how much can still be shared after this place) and a suffix filter (a bound of the difference from counts by hash range), are
-made distinct, and are verified once against the full sets.
+prefixes of this order (prefix filter). Prefix entries meet by n-gram; pairs pass the length filter and the positional filter
+(how much can still be shared after this place), are made distinct, pass a suffix filter (a bound of the sets' difference from counts by
+hash range), and are verified once against the full sets, which are made again from the texts.
 
 Entries that share an n-gram with few others are paired directly. For a frequent n-gram, only a star is paired first (sizes
 ascending, each with the current centre). The links found so give components, and afterwards such an n-gram's entries are paired only
@@ -29,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, checkpointed, map_batches, strings
+from quire.llm.common import bound_batches, checkpointed, map_batches, release, strings
 
 #: Counters of the sketch, in blocks; blocks merged at once.
 SKETCH, BLOCK, MERGED = 1 << 18, 1 << 14, 64
+#: Hash ranges in a set's signature; pairs of one centre that are verified in one group.
+RANGES, STAR_PAIRS = 128, 500
 #: Entries of an n-gram that are paired directly; entries in a block of a frequent one; bits of the filter of texts to verify.
 DIRECT, BLOCK_ENTRIES, FILTER_BITS = 8, 20_000, 1 << 24
 #: Words whose hashes a Python worker remembers.
@@ -143,15 +145,15 @@ def _saturating_add(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray
 
 
 # --------------------------------------------------------------------------- classes and their prefixes
-def _signature(found: np.ndarray) -> int:
-    """Counts of a set's members in 8 hash ranges, a byte each, saturating."""
-    counts = np.minimum(np.bincount((found >> np.uint64(61)).astype(np.int64), minlength=8), 255)
-    return int(counts.astype(np.uint8).view(np.int64)[0])
+def _signature(found: np.ndarray) -> bytes:
+    """Counts of a set's members by hash range, saturating."""
+    counts = np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=RANGES)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _described(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
     """(id, th, n, digest, sig, prefix) of every row (th: a hash of its text); the prefix is a binary of hashes, rarest first; digest is null for empty sets."""
-    kind = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.int64()), ("prefix", pa.binary())])
+    kind = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("prefix", pa.binary())])
 
     def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         shingle = Shingler(rule.n)
@@ -165,69 +167,80 @@ def _described(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
                     order = np.lexsort((found, counts[(found & np.uint64(SKETCH - 1)).astype(np.int64)]))[: rule.prefix(n)]
                     row = (n, xxhash.xxh3_128_digest(found.tobytes()), _signature(found), found[order].tobytes())
                 else:
-                    row = (0, None, 0, None)
+                    row = (0, None, None, None)
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(out, list(kind)[2:], strict=True))], schema=kind)
 
         return each
 
-    return map_batches(docs.select("id", F.xxhash64("text").alias("th"), "text"), make, "id bigint, th bigint, n bigint, digest binary, sig bigint, prefix binary")
+    return map_batches(docs.select("id", F.xxhash64("text").alias("th"), "text"), make, "id bigint, th bigint, n bigint, digest binary, sig binary, prefix binary")
 
 
-_ENTRY = "h bigint, size int, node bigint, pos int, sig bigint"
+#: An entry: n-gram, size and position in one number (so that entries sort by size), class.
+_ENTRY = "h bigint, at bigint, node bigint"
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
     """One row for every n-gram in a class's prefix."""
-    kind = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("pos", pa.int32()), ("sig", pa.int64())])
+    kind = pa.schema([("h", pa.int64()), ("at", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, sig = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            found = [np.frombuffer(p, np.int64) for p in batch.column(3).to_pylist()]
+            node, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            found = [np.frombuffer(p, np.int64) for p in batch.column(2).to_pylist()]
             if not found:
                 continue
             lengths = np.array(list(map(len, found)))
             h = np.concatenate(found)
-            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
-            columns = (h, np.repeat(size, lengths).astype(np.int32), np.repeat(node, lengths), pos, np.repeat(sig, lengths))
+            pos = np.concatenate([np.arange(n, dtype=np.int64) for n in lengths])
+            columns = (h, np.repeat(size, lengths) << 32 | pos, np.repeat(node, lengths))
             for i in range(0, len(h), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], schema=kind)
 
-    return _arrow(nodes.select("node", "n", "sig", "prefix"), run, _ENTRY)
+    return _arrow(nodes.select("node", "n", "prefix"), run, _ENTRY)
 
 
 # --------------------------------------------------------------------------- filters
-def _difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A lower bound of the symmetric difference from two signatures."""
-    x, y = (np.ascontiguousarray(s, dtype=np.int64).view(np.uint8).reshape(-1, 8).astype(np.int16) for s in (a, b))
-    return np.abs(x - y).sum(axis=1)
+def _passes(rule: Rule, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of one n-gram's entries (size and position) may be similar: length and positional filter."""
+    sa, pos_a, sb, pos_b = a >> 32, a & 0xFFFFFFFF, b >> 32, b & 0xFFFFFFFF
+    # At best this n-gram and all behind it are shared, and all before both.
+    most = np.minimum(sa - pos_a, sb - pos_b) + np.minimum(pos_a, pos_b)
+    return (np.minimum(sa, sb) * 100 >= rule.percent * np.maximum(sa, sb)) & (most >= rule.overlap(sa, sb))
 
 
-def _passes(rule: Rule, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Which pairs of entries (size, pos, sig) of one n-gram may be similar: length, positional and suffix filter."""
-    (sa, pa_, ga), (sb, pb, gb) = a, b
-    need = rule.overlap(sa, sb)
-    left = np.minimum(sa - pa_, sb - pb)  # at best, this n-gram and all behind it are shared, and all before both
-    before = np.minimum(pa_, pb)
-    ok = (np.minimum(sa, sb) * 100 >= rule.percent * np.maximum(sa, sb)) & (left + before >= need)
-    return ok & (_difference(ga, gb) <= sa + sb - 2 * need)
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
 
 
-def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    n = len(lo)
-    none = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), none, pa.nulls(n, pa.int32()), none, pa.nulls(n, pa.int32()), none], schema=_FOUND)
+def _suffix_filter(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs whose sets can't differ in more members than similar sets of their sizes do; the difference is bounded below by
+    the counts of members by hash range."""
+    sig = nodes.select("node", "n", "sig")
+    both = pairs.join(sig.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(
+        sig.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b"
+    )
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (_signatures(batch.column(i)) for i in (4, 5))
+            keep = np.abs(x - y).sum(axis=1) <= na + nb - 2 * rule.overlap(na, nb)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], schema=kind)
+
+        return each
 
+    return map_batches(both.select("a", "b", "na", "nb", "sa", "sb"), make, "a bigint, b bigint")
 
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("pos", pa.int32()), ("sig", pa.int64())])
+
+def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], schema=_FOUND)
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal keys, and the end."""
-    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+_FOUND = pa.schema([(name, pa.int64()) for name in ("a", "b", "h", "at", "node")])
 
 
 def _first_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
@@ -239,84 +252,75 @@ def _first_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # entries of the n-gram that the last batch ended in, as long as they are few
         going: int | None = None  # the frequent n-gram that goes on
-        centre: tuple[int, int, int, int] = (0, 0, 0, 0)
+        centre: tuple[int, int] = (0, 0)  # at, node
 
-        def stars(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def stars(h: np.ndarray, at: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
             """The next entries of a frequent n-gram."""
             nonlocal centre
-            h, size, node, pos, sig = c
-            i, n = 0, len(h)
-            while i < n:
-                if not (centre[1] and int(size[i]) * rule.percent <= centre[1] * 100):
-                    centre = (int(node[i]), int(size[i]), int(pos[i]), int(sig[i]))
+            i, size = 0, at >> 32
+            while i < len(h):
+                most = (centre[0] >> 32) * 100 // rule.percent
+                if size[i] > most:
+                    centre = (int(at[i]), int(node[i]))
                     i += 1
                     continue
-                j = int(np.searchsorted(size, centre[1] * 100 // rule.percent, "right"))
-                part = slice(i, max(j, i + 1))
-                k = len(size[part])
-                own = (np.full(k, centre[1]), np.full(k, centre[2]), np.full(k, centre[3]))
-                ok = _passes(rule, own, (size[part].astype(np.int64), pos[part].astype(np.int64), sig[part]))
+                j = int(np.searchsorted(size, most, "right"))
+                ok = _passes(rule, np.full(j - i, centre[0]), at[i:j])
                 if ok.any():
-                    yield _pairs_batch(np.full(int(ok.sum()), centre[0]), node[part][ok])
-                i = part.stop
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x) for x in c)], schema=_FOUND)
+                    yield _pairs_batch(np.full(int(ok.sum()), centre[1]), node[i:j][ok])
+                i = j
+            none = pa.nulls(len(h), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(at), pa.array(node)], schema=_FOUND)
 
-        def few(c: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def few(at: np.ndarray, node: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
             """All pairs inside short runs, by the distance of the two in the run."""
-            _, size, node, pos, sig = c
-            size, pos = size.astype(np.int64), pos.astype(np.int64)
             lengths = ends - starts
             for d in range(1, int(lengths.max(initial=1))):
                 chosen = lengths > d
-                at = starts[chosen]
                 counts = lengths[chosen] - d
-                x = np.repeat(at, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                y = x + d
-                ok = _passes(rule, (size[x], pos[x], sig[x]), (size[y], pos[y], sig[y]))
+                x = np.repeat(starts[chosen], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                ok = _passes(rule, at[x], at[x + d])
                 if ok.any():
-                    yield _pairs_batch(node[x][ok], node[y][ok])
+                    yield _pairs_batch(node[x][ok], node[x + d][ok])
 
         def take(c: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, going, centre
             if held is not None:
                 c, held = [np.concatenate([a, b]) for a, b in zip(held, c, strict=True)], None
-            if not len(c[0]):
+            h, at, node = c
+            if not len(h):
                 return
-            cuts = _runs(c[0])
+            cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
             starts, ends = cuts[:-1], cuts[1:]
-            if going is not None:
-                if c[0][0] == going:
-                    yield from stars([x[: ends[0]] for x in c])
-                    if len(starts) == 1:
-                        return
-                    starts, ends = starts[1:], ends[1:]
-                going = None
+            if going is not None and h[0] == going:
+                yield from stars(h[: ends[0]], at[: ends[0]], node[: ends[0]])
+                if len(starts) == 1:
+                    return
+                starts, ends = starts[1:], ends[1:]
+            going = None
             if not last and ends[-1] - starts[-1] <= DIRECT:
                 held = [x[starts[-1] :].copy() for x in c]
                 starts, ends = starts[:-1], ends[:-1]
             lengths = ends - starts
             short = (lengths >= 2) & (lengths <= DIRECT)
             if short.any():
-                yield from few(c, starts[short], ends[short])
+                yield from few(at, node, starts[short], ends[short])
             for s, e in zip(starts[lengths > DIRECT], ends[lengths > DIRECT], strict=True):
-                centre = (0, 0, 0, 0)
-                yield from stars([x[s:e] for x in c])
-                going = int(c[0][s])
-            if going is not None and (held is not None or not len(starts) or c[0][starts[-1]] != going):
-                going = None
+                centre = (0, 0)
+                yield from stars(h[s:e], at[s:e], node[s:e])
+                going = int(h[s]) if e == len(h) else None
 
         for batch in batches:
             if batch.num_rows:
                 yield from take([x.to_numpy(zero_copy_only=False) for x in batch.columns], False)
-        yield from take([np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)], True)
+        yield from take([np.zeros(0, np.int64)] * 3, True)
 
-    ordered = entries.repartition("h").sortWithinPartitions("h", "size", "node")
+    ordered = entries.repartition("h").sortWithinPartitions("h", "at", "node")
     return _arrow(ordered, run, f"a bigint, b bigint, {_ENTRY}")
 
 
-def _later_pairs(entries: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs across components of the frequent n-grams' entries.
+def _later_pairs(entries: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs across components of the frequent n-grams' entries, through all filters.
 
     An n-gram with k blocks of entries is dealt to the k * (k + 1) / 2 pairs of blocks, so that a group holds at most two blocks.
     """
@@ -325,18 +329,18 @@ def _later_pairs(entries: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame
     k = F.ceil(F.col("entries") / BLOCK_ENTRIES).cast("int")
     mine = own.join(mixed.select("mh", k.alias("k")), F.col("h") == F.col("mh")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "size", "node", "pos", "sig", "comp"
+        "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "node", "comp"
     )
+    dealt = dealt.join(nodes.select("node", "sig"), "node")
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pair(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "ascending"), ("node", "ascending")])
-        block, size, node, pos, sig, comp = (table.column(x).to_numpy() for x in ("block", "size", "node", "pos", "sig", "comp"))
-        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        table = table.sort_by([("at", "ascending"), ("node", "ascending")])
+        block, at, node, comp = (table.column(x).to_numpy() for x in ("block", "at", "node", "comp"))
+        size, sig = at >> 32, _signatures(table.column("sig"))
         across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         names, counts = np.unique(comp, return_counts=True)
-        most = names[np.argmax(counts)]
-        done = comp == most  # entries of the most frequent component are met by the others, not by one another
+        done = comp == names[np.argmax(counts)]  # entries of the most frequent component are met by the others, not by one another
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for x in np.flatnonzero(~done):
             lo = int(np.searchsorted(size, -(-size[x] * rule.percent // 100)))
@@ -347,8 +351,8 @@ def _later_pairs(entries: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame
             if across:
                 y = y[block[y] != block[x]]
             if len(y):
-                m = len(y)
-                y = y[_passes(rule, (np.full(m, size[x]), np.full(m, pos[x]), np.full(m, sig[x])), (size[y], pos[y], sig[y]))]
+                y = y[_passes(rule, np.full(len(y), at[x]), at[y])]
+                y = y[np.abs(sig[y] - sig[x]).sum(axis=1) <= size[y] + size[x] - 2 * rule.overlap(size[y], size[x])]
                 out.append((np.full(len(y), node[x]), node[y]))
         a = np.concatenate([p for p, _ in out]) if out else np.zeros(0, np.int64)
         b = np.concatenate([q for _, q in out]) if out else np.zeros(0, np.int64)
@@ -358,73 +362,82 @@ def _later_pairs(entries: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame
 
 
 # --------------------------------------------------------------------------- verification
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """(node, set) for every class that occurs in a pair.
+def _involved_texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
+    """(id, th, text) of the documents that stand for classes to verify, and of some others.
 
-    Texts are read again and passed through a filter of fixed size on the ids of the classes' first documents; an exact join follows.
+    The whole table passes a filter of fixed size by id hash, so that only few texts are shuffled in the exact join that follows.
     """
-    involved = checkpointed(
-        pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "digest", "first_id"), "node")
-    )
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, part = np.zeros(FILTER_BITS // 8, np.uint8), 0
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(1)[0].as_py()
-                at = batch.column(0).to_numpy() % FILTER_BITS
+                at = batch.column(0).to_numpy()
                 np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield _emit_blocks(part, bits, 1 << 17)
 
-    key = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1))), F.lit(FILTER_BITS))
-    source = involved.select(key_of("first_id").alias("key"), F.spark_partition_id().cast("long").alias("part"))
-    bits = _merge_blocks(_arrow(source, mark, "part bigint, block int, data binary"), involved.rdd.getNumPartitions(), np.bitwise_or, "u1")
-    kind = pa.schema([("digest", pa.binary()), ("set", pa.binary())])
-
-    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        shingle = Shingler(rule.n)
-
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            at = batch.column(0).to_numpy()
-            hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) if len(bits) else np.zeros(0, np.int64)
-            if len(hit):
-                found = [shingle(t) for t in strings(batch.column(1).take(pa.array(hit)))]
-                data = [s.tobytes() for s in found if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array(data, pa.binary())], schema=kind)
-
-        return each
+    def place(name: str) -> Any:
+        return F.pmod(F.xxhash64(F.coalesce(F.col(name), F.lit(-1))), F.lit(FILTER_BITS))
 
-    found = map_batches(docs.select(key.alias("key"), "text"), make, "digest binary, set binary")
-    return found.join(involved.select("node", "digest"), "digest").groupBy("node").agg(F.any_value("set").alias("set"))
+    source = involved.select(place("id").alias("key"), F.spark_partition_id().cast("long").alias("part"))
+    bits = _merge_blocks(_arrow(source, mark, "part bigint, block int, data binary"), involved.rdd.getNumPartitions(), np.bitwise_or, "u1")
 
+    @F.arrow_udf("boolean")
+    def hit(at: pa.Array) -> pa.Array:
+        at = at.to_numpy(zero_copy_only=False)
+        return pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-def key_of(name: str):
-    """An id's place in the filter."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(name), F.lit(-1))), F.lit(FILTER_BITS))
+    # The function sees the key alone; texts stay in the JVM.
+    return docs.withColumn("key", place("id")).filter(hit("key")).select("id", F.xxhash64("text").alias("th"), "text")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose sets are similar, each verified once."""
-    sets = checkpointed(_sets(docs, nodes, pairs, rule))
-    both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        .select("a", "b", "set_a", "set_b")
-    )
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """The pairs whose sets are similar, each verified once.
 
-    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= rule.percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], schema=kind)
+    A pair is dealt to the one of its classes that has more pairs, its centre. A centre's text and those of its partners meet in groups of
+    bounded size (a centre of many pairs gets several), where sets are made from the texts, one partner at a time.
+    """
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    degree = checkpointed(ends.groupBy("node").agg(F.count(F.lit(1)).alias("d")))
+    rated = pairs.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+    first = F.col("da") >= F.col("db")
+    centred = rated.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("da", "db").alias("d")
+    ).withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("d") / STAR_PAIRS)).cast("int"))
+    centred = checkpointed(centred.select("centre", "salt", "node"))
+    # Where each class's text goes: to its centres, and as a centre to its own groups.
+    goes = centred.unionByName(centred.select("centre", "salt").distinct().withColumn("node", F.col("centre")))
+    keys = nodes.select("node", F.col("first_id").alias("id"), "th")
+    involved = checkpointed(degree.select("node").join(keys, "node"))
+    texts = _involved_texts(docs, involved)
+    of_class = texts.join(involved, texts.id.eqNullSafe(involved.id) & texts.th.eqNullSafe(involved.th)).select("node", "text")
+    met = of_class.join(goes, "node").select("centre", "salt", (F.col("node") != F.col("centre")).alias("partner"), "node", "text")
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        return each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(rule.n)
+        group, own, last = None, np.zeros(0, np.uint64), None
+        for batch in batches:
+            out: tuple[list[int], list[int]] = ([], [])
+            for centre, salt, partner, node, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (centre, salt, node) == last:  # a repeated row
+                    continue
+                last = (centre, salt, node)
+                if not partner:
+                    group, own = (centre, salt), shingle(text)
+                    continue
+                assert group == (centre, salt), "a centre's text is missing"
+                other = shingle(text)
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * shared >= rule.percent * (len(own) + len(other) - shared):
+                    out[0].append(min(centre, node))
+                    out[1].append(max(centre, node))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=kind)
 
-    return checkpointed(map_batches(both, make, "a bigint, b bigint"))
+    ordered = met.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "partner", "node")
+    return checkpointed(_arrow(ordered, run, "a bigint, b bigint"))
 
 
 # --------------------------------------------------------------------------- components
@@ -471,23 +484,33 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = ngram_counts(source, rule.n)
     described = checkpointed(_described(source, counts, rule))
+    rows = checkpointed(described.select("id", "th", "n", "digest"))
+    # Of a class, the row with the smallest id stands for it.
     nodes = checkpointed(
         described.filter("digest is not null")
         .groupBy("digest")
-        .agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("prefix").alias("prefix"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
+        .agg(
+            F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("prefix").alias("prefix"),
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"), F.count(F.lit(1)).alias("copies"),
+        )
+        .select(F.monotonically_increasing_id().alias("node"), "digest", "n", "sig", "prefix", F.col("k.id").alias("first_id"), F.col("k.th").alias("th"), "copies")
+    )
+    del described
     met = checkpointed(_first_pairs(_entries(nodes), rule))
-    pairs = checkpointed(met.filter("a is not null").select("a", "b").distinct())
+    nodes = checkpointed(nodes.drop("prefix"))
+    release(docs)
+    pairs = checkpointed(_suffix_filter(met.filter("a is not null").select("a", "b").distinct(), nodes, rule))
     links = _verified(source, nodes, pairs, rule)
+    release(docs)
     labels = checkpointed(components(links))
-    frequent = met.filter("h is not null").select("h", "size", "node", "pos", "sig")
-    more = checkpointed(_later_pairs(frequent, labels, rule).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = _later_pairs(met.filter("h is not null").select("h", "at", "node"), nodes, labels, rule)
+    more = checkpointed(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.unionByName(_verified(source, nodes, more, rule))
         labels = checkpointed(components(links))
+    release(docs)
     classes = nodes.select("node", "digest", "first_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return Joined(described.select("id", "th", "n", "digest"), classes, links)
+    return Joined(rows, classes, links)
 
 
 def components_of(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
