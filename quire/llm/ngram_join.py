@@ -328,8 +328,12 @@ def _later_pairs(entries: DataFrame, nodes: DataFrame, labels: DataFrame, rule:
     mixed = own.groupBy(F.col("h").alias("mh")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("entries")).filter("c0 <> c1")
     k = F.ceil(F.col("entries") / BLOCK_ENTRIES).cast("int")
     mine = own.join(mixed.select("mh", k.alias("k")), F.col("h") == F.col("mh")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    # A pair that shares several of these n-grams is met at the first of them: entries know the ones before them, at most a prefix.
+    order = F.transform(F.array_sort(F.collect_list(F.struct((F.col("at") % (1 << 32)).alias("pos"), "h"))), lambda x: x["h"])
+    mine = mine.join(mine.groupBy("node").agg(order.alias("all")), "node")
+    mine = mine.withColumn("before", F.slice("all", F.lit(1), F.array_position("all", F.col("h")).cast("int") - 1)).drop("all")
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "node", "comp"
+        "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "node", "comp", "before"
     )
     dealt = dealt.join(nodes.select("node", "sig"), "node")
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -341,6 +345,7 @@ def _later_pairs(entries: DataFrame, nodes: DataFrame, labels: DataFrame, rule:
         across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         names, counts = np.unique(comp, return_counts=True)
         done = comp == names[np.argmax(counts)]  # entries of the most frequent component are met by the others, not by one another
+        before = [frozenset(b) for b in table.column("before").to_pylist()]
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for x in np.flatnonzero(~done):
             lo = int(np.searchsorted(size, -(-size[x] * rule.percent // 100)))
@@ -353,6 +358,7 @@ def _later_pairs(entries: DataFrame, nodes: DataFrame, labels: DataFrame, rule:
             if len(y):
                 y = y[_passes(rule, np.full(len(y), at[x]), at[y])]
                 y = y[np.abs(sig[y] - sig[x]).sum(axis=1) <= size[y] + size[x] - 2 * rule.overlap(size[y], size[x])]
+                y = np.array([i for i in y if before[i].isdisjoint(before[x])], dtype=np.int64)
                 out.append((np.full(len(y), node[x]), node[y]))
         a = np.concatenate([p for p, _ in out]) if out else np.zeros(0, np.int64)
         b = np.concatenate([q for _, q in out]) if out else np.zeros(0, np.int64)
