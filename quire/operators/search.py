@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
+_WORD = "[0-9A-Za-z_]"
+
+
 def java(pattern: str) -> str:
-    """A pattern of the common subset as Java reads it with the same result."""
+    """A pattern of the common subset as Java reads it with the same result.
+
+    A boundary at a pattern's start or end, where these patterns have a word's character inside, is tested on one side only,
+    which is much faster than the general form.
+    """
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<!{_WORD})(?={_WORD})" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + f"(?<={_WORD})(?!{_WORD})"
     return pattern.replace(r"\b", BOUNDARY)
 
 
