@@ -38,7 +38,7 @@ def bytes_of(ops: DataFrame) -> DataFrame:
 
 def plain_text(html: Column) -> Column:
     """Text without tags, scripts and styles; white space is single."""
-    out = F.regexp_replace(html, r"<(?:script|style)[^>]*>[^<]*(?:<[^/][^<]*|</p>[^<]*)*</(?:script|style)>", " ")
+    out = F.regexp_replace(html, r"(?is)<(script|style)(?:[\s/][^>]*)?>.*?</\1(?:[\s/][^>]*)?>", " ")
     out = F.regexp_replace(out, r"<[^>]*>", " ")
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
