@@ -7,8 +7,10 @@ prefixes of this order (prefix filter). Prefix entries meet by n-gram; pairs pas
 hash range), and are verified once against the full sets, which are made again from the texts.
 
 Entries that share an n-gram with few others are paired directly. For a frequent n-gram, only a star is paired first (sizes
-ascending, each with the current centre). The links found so give components, and afterwards such an n-gram's entries are paired only
-across components, in blocks of bounded size. Near copies by the thousands so cost a star, not a square, and no link that joins two components is lost.
+ascending, each with the current centre), and afterwards its entries in blocks of bounded size. ``join`` pairs all of them and so returns every
+link; its work grows with the number of links, the square of a group's size. ``join_components`` pairs them only across the components that
+the links found so far give: near copies by the thousands then cost a star, not a square, and no link that joins two components is lost, but
+most links inside a component are.
 
 Hashes are 64 bits for n-grams and 128 bits for sets. Words are what white space ``[\\x20\\x09-\\x0D]`` separates, with A-Z in lower case.
 
@@ -37,6 +39,8 @@ SKETCH, BLOCK, MERGED = 1 << 18, 1 << 14, 64
 RANGES, STAR_PAIRS = 128, 500
 #: Entries of an n-gram that are paired directly; entries in a block of a frequent one; bits of the filter of texts to verify.
 DIRECT, BLOCK_ENTRIES, FILTER_BITS = 8, 20_000, 1 << 24
+#: Entries in a block where all pairs count, as nearly all may pass.
+ALL_BLOCK_ENTRIES = 1_000
 #: Words whose hashes a Python worker remembers.
 MAX_WORDS = 500_000
 
@@ -319,14 +323,17 @@ def _first_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
     return _arrow(ordered, run, f"a bigint, b bigint, {_ENTRY}")
 
 
-def _later_pairs(entries: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs across components of the frequent n-grams' entries, through all filters.
+def _later_pairs(entries: DataFrame, nodes: DataFrame, labels: DataFrame | None, rule: Rule) -> DataFrame:
+    """Pairs of the frequent n-grams' entries, through all filters: across components, or without labels all.
 
     An n-gram with k blocks of entries is dealt to the k * (k + 1) / 2 pairs of blocks, so that a group holds at most two blocks.
     """
-    own = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    if labels is None:
+        own, most = entries.withColumn("comp", F.col("node")), ALL_BLOCK_ENTRIES
+    else:
+        own, most = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"), BLOCK_ENTRIES
     mixed = own.groupBy(F.col("h").alias("mh")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("entries")).filter("c0 <> c1")
-    k = F.ceil(F.col("entries") / BLOCK_ENTRIES).cast("int")
+    k = F.ceil(F.col("entries") / most).cast("int")
     mine = own.join(mixed.select("mh", k.alias("k")), F.col("h") == F.col("mh")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     # A pair that shares several of these n-grams is met at the first of them: entries know the ones before them, at most a prefix.
     order = F.transform(F.array_sort(F.collect_list(F.struct((F.col("at") % (1 << 32)).alias("pos"), "h"))), lambda x: x["h"])
@@ -478,7 +485,8 @@ def components(links: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- the join
 @dataclass
 class Joined:
-    """rows: (id, th, n, digest) of every document; classes: (node, digest, first_id, copies, label); links between classes."""
+    """rows: (id, th, n, digest) of every document; classes: (node, digest, first_id, copies, label); links between classes: all, or
+    those that the components need."""
 
     rows: DataFrame
     classes: DataFrame
@@ -486,7 +494,16 @@ class Joined:
 
 
 def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> Joined:
-    """All links between the documents' classes that their components need, and the components."""
+    """All links between the documents' classes, and the components."""
+    return _join(docs, rule, id_col, text_col, True)
+
+
+def join_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> Joined:
+    """Links enough for the components, and these; other links inside a component may be missing."""
+    return _join(docs, rule, id_col, text_col, False)
+
+
+def _join(docs: DataFrame, rule: Rule, id_col: str, text_col: str, complete: bool) -> Joined:
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = ngram_counts(source, rule.n)
     described = checkpointed(_described(source, counts, rule))
@@ -509,7 +526,7 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
     links = _verified(source, nodes, pairs, rule)
     release(docs)
     labels = checkpointed(components(links))
-    more = _later_pairs(met.filter("h is not null").select("h", "at", "node"), nodes, labels, rule)
+    more = _later_pairs(met.filter("h is not null").select("h", "at", "node"), nodes, None if complete else labels, rule)
     more = checkpointed(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.unionByName(_verified(source, nodes, more, rule))
@@ -521,7 +538,7 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
 
 def components_of(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    found = join(docs, rule, id_col, text_col)
+    found = join_components(docs, rule, id_col, text_col)
     smallest = found.classes.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("component"))
     classes = found.classes.join(smallest, F.col("label") == F.col("l")).select(F.col("digest").alias("d"), "component")
     return found.rows.join(classes, F.col("digest") == F.col("d"), "left").select(
@@ -529,10 +546,21 @@ def components_of(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
     )
 
 
+def link_counts(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, n_links: the classes that its own is linked with."""
+    found = join(docs, rule, id_col, text_col)
+    ends = found.links.select(F.col("a").alias("end")).unionByName(found.links.select(F.col("b").alias("end")))
+    counts = ends.groupBy("end").agg(F.count(F.lit(1)).alias("k"))
+    classes = found.classes.join(counts, F.col("node") == F.col("end"), "left").select(F.col("digest").alias("d"), "k")
+    return found.rows.join(classes, F.col("digest") == F.col("d"), "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("k", F.lit(0)).alias("n_links")
+    )
+
+
 def representatives(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id (null ids last), of such rows
     the one whose text's hash is smallest, and one of repeated rows; every row with an empty set."""
-    found = join(docs, rule, id_col, text_col)
+    found = join_components(docs, rule, id_col, text_col)
     rows = found.rows.filter("digest is not null").join(found.classes.select(F.col("digest").alias("d"), "label"), F.col("digest") == F.col("d"))
     alike = rows.groupBy("label", "id", "th").agg(F.count(F.lit(1)).alias("times"))
     best = checkpointed(alike.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "times")).alias("k")).select("k.id", "k.th", "k.times"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from quire.llm import ngram_join
 from quire.operators import sanitize, structure
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +33,32 @@ def test_pages_keep_no_script(spark):
     assert "<script" not in "".join(r.html for r in catalog.queries()["sanitize_html"](spark, SF).collect()).lower()
     row = next(r for r in catalog.queries()["suspicious_counts"](spark, SF).collect() if r.kind == "script")
     assert row.n_before == 50 and row.n_after == 0
+
+
+@pytest.mark.parametrize("direct,block", [(8, 1000), (2, 4)])
+def test_join_returns_all_links(spark, monkeypatch, direct, block):
+    monkeypatch.setattr(ngram_join, "DIRECT", direct)
+    monkeypatch.setattr(ngram_join, "ALL_BLOCK_ENTRIES", block, raising=False)
+    monkeypatch.setattr(ngram_join, "STAR_PAIRS", 5)
+    random.seed(direct)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts: dict[int, str] = {}
+    for size, copies, edits in ((80, 30, 2), (60, 12, 4), (200, 15, 6), (2, 4, 0)):
+        base = random.choices(vocabulary, k=size)
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(random.randint(0, edits)):
+                own[random.randrange(size)] = random.choice(vocabulary)
+            texts[len(texts)] = " ".join(own)
+    texts |= {len(texts): "", len(texts) + 1: " ".join(random.choices(vocabulary, k=50))}
+    rule = ngram_join.Rule(3, 80)
+    sets = {k: frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if (w := t.split()) else frozenset() for k, t in texts.items()}
+    first = {s: min(k for k in sets if sets[k] == s) for s in set(sets.values()) if s}
+    links = {(first[a], first[b]) for a in first for b in first if first[a] < first[b] and 100 * len(a & b) >= rule.percent * len(a | b)}
+    assert len(links) > 100
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = ngram_join.join(df, rule)
+    names = {r.node: r.first_id for r in found.classes.collect()}
+    assert sorted(tuple(sorted((names[r.a], names[r.b]))) for r in found.links.collect()) == sorted(links)
+    counts = {k: sum(first.get(s) in pair for pair in links) for k, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in ngram_join.link_counts(df, rule).collect()} == counts
