@@ -36,12 +36,33 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def words(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, word_no, text, col_no): words between single spaces, numbered among the line's parts; col_no counts characters before it."""
-    parts = lines(docs).select("doc_id", "line_no", F.posexplode(F.split("text", " ", -1)).alias("word_no", "text"))
+    return words_of(lines(docs))
+
+
+def words_of(lines_df: DataFrame) -> DataFrame:
+    """The words of lines (doc_id, line_no, text), whose other columns stay."""
+    parts = lines_df.select(*(c for c in lines_df.columns if c != "text"), F.posexplode(F.split("text", " ", -1)).alias("word_no", "text"))
     before = Window.partitionBy("doc_id", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
     return parts.withColumn("col_no", at).filter("text <> ''")
 
 
+def in_range(docs: DataFrame, start: int, end: int) -> DataFrame:
+    """(doc_id, line_no, word_no, text, offset): words that overlap the offsets start to end (exclusive); offsets count the whole text's characters."""
+    lengths = docs.select("doc_id", "text", F.transform(F.split("text", "\n", -1), F.length).alias("lengths"))
+    # Lines that start behind the end are never needed, so running sums stop there.
+    first = F.aggregate(
+        "lengths", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
+        lambda s, n: F.when(s["at"] < end, F.struct((s["at"] + n + 1).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts"))).otherwise(s),
+        lambda s: s["starts"],
+    )
+    each = lengths.select("doc_id", "text", F.posexplode(first).alias("line_no", "at"))
+    line = F.get(F.split("text", "\n", -1), F.col("line_no"))
+    own = words_of(each.select("doc_id", "line_no", "at", line.alias("text")))
+    offset = F.col("at") + F.col("col_no")
+    return own.filter((offset < end) & (offset + F.length("text") > start)).select("doc_id", "line_no", "word_no", "text", offset.alias("offset"))
+
+
 def marks(docs: DataFrame) -> DataFrame:
     """Words with boxes."""
     at, size = F.col("col_no"), F.length("text")

@@ -57,11 +57,10 @@ def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AES-CBC with a 16-byte key derived from the document's number."""
     key = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)
-    head = F.substring("text", 1, 64)
-    df = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), head.alias("head"))
-    secret = F.aes_encrypt("head", "key", F.lit("CBC"), F.lit("PKCS"), F.unhex(F.lit("00" * 16)))
+    df = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), "text")
+    secret = F.aes_encrypt("text", "key", F.lit("CBC"), F.lit("PKCS"), F.unhex(F.lit("00" * 16)))
     df = df.withColumn("secret", secret)
-    return df.select("doc_id", F.aes_decrypt("secret", "key", F.lit("CBC"), F.lit("PKCS")).cast("string").alias("plain"), (F.col("secret") != F.col("head").cast("binary")).alias("hidden"))
+    return df.select("doc_id", F.aes_decrypt("secret", "key", F.lit("CBC"), F.lit("PKCS")).cast("string").alias("plain"), (F.col("secret") != F.col("text").cast("binary")).alias("hidden"))
 
 
 @query(

@@ -12,9 +12,8 @@ from quire.plans.registry import query, table
 @query("SELECT doc_id, text[1:200] AS decoded, CAST(2 + 2 * length(text[1:200]) AS BIGINT) AS n_bytes, true AS same FROM documents")
 def decode_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to UTF-16BE with a byte-order mark, and back by the mark."""
-    head = F.substring("text", 1, 200)
-    df = table(spark, sf_dir, "documents").select("doc_id", head.alias("head"), T.text_to_utf16(head).alias("raw"))
-    return df.select("doc_id", T.decoded(F.col("raw")).alias("decoded"), F.octet_length("raw").cast("bigint").alias("n_bytes"), (T.decoded(F.col("raw")) == F.col("head")).alias("same"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", T.text_to_utf16(F.col("text")).alias("raw"))
+    return df.select("doc_id", T.decoded(F.col("raw")).alias("decoded"), F.octet_length("raw").cast("bigint").alias("n_bytes"), (T.decoded(F.col("raw")) == F.col("text")).alias("same"))
 
 
 @query(
@@ -30,8 +29,8 @@ def decode_pdfdoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, upper(hex(encode(text[1:100]))) AS encoded, text[1:100] AS back FROM documents")
 def hex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hexadecimal text of bytes, and back."""
-    head = F.substring("text", 1, 100)
-    return table(spark, sf_dir, "documents").select("doc_id", F.hex(head.cast("binary")).alias("encoded"), F.decode(F.unhex(F.hex(head.cast("binary"))), "UTF-8").alias("back"))
+    data = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(data).alias("encoded"), F.decode(F.unhex(F.hex(data)), "UTF-8").alias("back"))
 
 
 @query("SELECT * FROM (VALUES ('48656C6C6F>', 'Hello'), ('4 8 6 5 >', 'He'), ('414>', 'A@'), ('>', '')) t(source, decoded)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,23 @@ def test_join_returns_all_links(spark, monkeypatch, direct, block):
     assert sorted(tuple(sorted((names[r.a], names[r.b]))) for r in found.links.collect()) == sorted(links)
     counts = {k: sum(first.get(s) in pair for pair in links) for k, s in sets.items()}
     assert {r.doc_id: r.n_links for r in ngram_join.link_counts(df, rule).collect()} == counts
+
+
+def test_queries_take_whole_texts(spark, tmp_path):
+    from quire.plans import catalog
+
+    texts = {1: "ab cd\n\n  e fgh\n" + "long é “words” 𝄞 " * 40 + "\nx y", 2: "", 3: "short", 4: "w" * 60 + " v\nu", 5: "a b c d e f g h\ni\nj\nk l", 6: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    q = {name: catalog.queries()[name](spark, str(tmp_path)).collect() for name in ("decode_utf16", "hex_roundtrip", "aes_roundtrip", "words_from_chars", "range_offset")}
+    assert {r.doc_id: (r.decoded, r.n_bytes) for r in q["decode_utf16"]} == {k: (t, t and 2 + len(t.encode("utf-16-be")) if t else (None if t is None else 2)) for k, t in texts.items()}
+    assert {r.doc_id: (r.encoded, r.back) for r in q["hex_roundtrip"]} == {k: (None if t is None else t.encode().hex().upper(), t) for k, t in texts.items()}
+    assert {r.doc_id: r.plain for r in q["aes_roundtrip"]} == texts
+    words = [(k, i, j, m.start(), m[0]) for k, t in texts.items() for i, line in enumerate((t or "").split("\n")) for j, m in _parts(line)]
+    assert sorted((r.doc_id, r.line_no, r.text) for r in q["words_from_chars"]) == sorted((k, i, w) for k, i, _, _, w in words)
+    start = {(k, i): sum(len(x) + 1 for x in (t or "").split("\n")[:i]) for k, t in texts.items() for i in range(len((t or "").split("\n")))}
+    assert sorted((r.doc_id, r.word_no, r.text) for r in q["range_offset"]) == sorted((k, j, w) for k, i, j, at, w in words if start[k, i] + at < 40 and start[k, i] + at + len(w) > 10)
+
+
+def _parts(line):
+    """(number among the parts between spaces, match) of a line's words."""
+    return [(line[: m.start()].count(" "), m) for m in re.finditer("[^ ]+", line)]
