@@ -87,7 +87,7 @@ _FORM_A = "(SELECT 'c' || c_custkey AS name, c_mktsegment AS value FROM customer
 )
 def fill_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields filled by name; empty values change nothing."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey <= 50")
+    c = table(spark, sf_dir, "customer")
     name = F.concat(F.lit("c"), F.col("c_custkey"))
     fields = c.select(name.alias("name"), F.col("c_mktsegment").alias("value"))
     new = c.filter("c_custkey % 2 = 0").select(name.alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("new"), F.col("c_custkey"))).alias("value"))
@@ -97,7 +97,7 @@ def fill_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT name, value FROM {_FORM_A} f UNION ALL SELECT 'doc2.' || name, value FROM {_FORM_A} f UNION ALL SELECT 'doc3.' || name, 'x' FROM {_FORM_A} f WHERE name = 'c1'")
 def merge_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms of several documents: later ones' names come under a parent of their own."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey <= 50").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("name"), F.col("c_mktsegment").alias("value"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("name"), F.col("c_mktsegment").alias("value"))
     return P.merge_fields([c, c, c.filter("name = 'c1'").withColumn("value", F.lit("x"))])
 
 

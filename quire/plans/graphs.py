@@ -41,10 +41,11 @@ def resolve_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT root, node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY 1, 2"""
 )
 def reachable_with_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A closure over a cyclic graph: each node once, at its least depth."""
-    parts = table(spark, sf_dir, "part").filter("p_partkey <= 50")
-    edges = parts.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 7 % 50 + 1).alias("dst"))
-    return G.reachable(edges, spark.createDataFrame([(1,)], "root bigint"), 12)
+    """Closures over a cyclic graph from every part: each node once, at its least depth. A part's edge leads to one of its fifty."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    fifty = F.floor((F.col("p_partkey") - 1) / 50) * 50
+    edges = parts.select(F.col("p_partkey").alias("src"), (fifty + F.col("p_partkey") * 7 % 50 + 1).alias("dst"))
+    return G.reachable(edges, parts.select(F.col("p_partkey").alias("root")), 12)
 
 
 @query(
@@ -100,9 +101,9 @@ def diff_permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 1 AS source_idx, page_id FROM pages WHERE page_id < 10 UNION ALL SELECT 2, page_id FROM pages WHERE page_id >= 40 UNION ALL SELECT 3, page_id FROM pages WHERE page_id = 7")
 def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of three documents in input order."""
+    """Pages of three documents in input order; every page is in one of them."""
     p = table(spark, sf_dir, "pages").select("page_id")
-    return P.merge([p.filter("page_id < 10"), p.filter("page_id >= 40"), p.filter("page_id = 7")])
+    return P.merge([p.filter(f"page_id % 3 = {k}") for k in range(3)])
 
 
 @query(f"SELECT a.conv_id FROM {_OLD} a ANTI JOIN {_NEW} b ON a.conv_id = b.conv_id")

@@ -129,12 +129,11 @@ def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS rn FROM part WHERE p_partkey <= 40) t"""
 )
 def table_skip_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table whose first two cells are skipped; cells carry spans."""
+    """A table for each brand, whose first two cells are skipped; cells carry spans."""
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.orderBy("p_partkey")) - 1 + 2
-    few = table(spark, sf_dir, "part").filter("p_partkey <= 40")
-    return few.select("p_partkey", F.floor(n / 4).cast("int").alias("y"), (n % 4).cast("int").alias("x"), F.when(F.col("p_size") > 25, 2).otherwise(1).alias("colspan"))
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1 + 2
+    return table(spark, sf_dir, "part").select("p_partkey", F.floor(n / 4).cast("int").alias("y"), (n % 4).cast("int").alias("x"), F.when(F.col("p_size") > 25, 2).otherwise(1).alias("colspan"))
 
 
 _PRICE, _NET, _GROSS = "CAST(l_extendedprice AS DECIMAL(12,2))", "(1 - CAST(l_discount AS DECIMAL(4,2)))", "(1 + CAST(l_tax AS DECIMAL(4,2)))"

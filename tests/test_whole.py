@@ -83,3 +83,31 @@ def test_queries_take_whole_texts(spark, tmp_path):
 def _parts(line):
     """(number among the parts between spaces, match) of a line's words."""
     return [(line[: m.start()].count(" "), m) for m in re.finditer("[^ ]+", line)]
+
+
+def test_queries_take_all_rows(spark, tmp_path):
+    from quire.plans import catalog
+
+    n = 130
+    spark.range(1, n + 1).selectExpr("id c_custkey", "'m' || id c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1, n + 1).selectExpr("id p_partkey", "'b' || id % 3 p_brand", "cast(id % 50 as int) p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(n).selectExpr("id page_id").write.parquet(str(tmp_path / "pages.parquet"))
+    names = ("fill_fields", "merge_forms", "table_skip_cells", "reachable_with_cycles", "merge_documents")
+    q = {name: catalog.queries()[name](spark, str(tmp_path)).collect() for name in names}
+    assert {r.name: r.value for r in q["fill_fields"]} == {f"c{i}": f"new{i}" if i % 2 == 0 and i % 3 else f"m{i}" for i in range(1, n + 1)}
+    expected = [(f"{p}c{i}", f"m{i}") for i in range(1, n + 1) for p in ("", "doc2.")] + [("doc3.c1", "x")]
+    assert sorted((r.name, r.value) for r in q["merge_forms"]) == sorted(expected)
+    places = {i: divmod((i - 1) // 3 + 2, 4) for i in range(1, n + 1)}
+    assert {r.p_partkey: (r.y, r.x) for r in q["table_skip_cells"]} == places
+    assert len(q["table_skip_cells"]) == n and sum(r.colspan for r in q["table_skip_cells"]) == n + sum(i % 50 > 25 for i in range(1, n + 1))
+    walks = set()
+    for root in range(1, n + 1):
+        node, seen = root, {}
+        while node not in seen:
+            seen[node] = len(seen)
+            if node > n:
+                break
+            node = (node - 1) // 50 * 50 + node * 7 % 50 + 1
+        walks |= {(root, k, d) for k, d in seen.items()}
+    assert {(r.root, r.node, r.depth) for r in q["reachable_with_cycles"]} == walks and len(q["reachable_with_cycles"]) == len(walks)
+    assert sorted((r.source_idx, r.page_id) for r in q["merge_documents"]) == sorted((i % 3 + 1, i) for i in range(n))
