@@ -207,18 +207,18 @@ def read_stream(data: bytes) -> Audio:
     out = Audio()
     end = len(data)
     if data[-128:-125] == b"TAG" and end >= 128:
-        end -= 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            out.tags[name] = data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip()
+        end -= 128  # a tag, unless a frame of the chain turns out to hold that place
     at = _id3v2(data, 0, out.tags)
     view = np.frombuffer(data, dtype=np.uint8)
     offsets: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     first: Header | None = None
     synced = False
-    while at + 4 <= end:
+    while at < end and at + 4 <= len(data):
         header = parse_header(data[at : at + 4])
         after = at + header.size if header else 0
+        if header and end < after and (after == len(data) or parse_header(data[after : after + 4]) is not None) and (first is None or (header.rate == first.rate and header.layer == first.layer)):
+            end = len(data)
         good = header is not None and after <= end and header.size >= 4
         if good and not synced:  # a lone header may be chance: another must follow, or the end
             good = after == end or data[after : after + 3] == b"ID3" or parse_header(data[after : after + 4]) is not None
@@ -254,6 +254,9 @@ def read_stream(data: bytes) -> Audio:
         out.samples += run * header.samples
         at += run * size
     out.skipped += max(0, end - at)
+    if end < len(data):
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+            out.tags[name] = data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip()
     if offsets:
         out.offsets, out.sizes = np.concatenate(offsets), np.concatenate(sizes)
     out.duration_us = out.samples * 1_000_000 // out.rate if out.rate else 0

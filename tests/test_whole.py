@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import ngram_join
+from quire.llm import mpeg_audio, ngram_join
 from quire.operators import sanitize, structure
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +111,15 @@ def test_queries_take_all_rows(spark, tmp_path):
         walks |= {(root, k, d) for k, d in seen.items()}
     assert {(r.root, r.node, r.depth) for r in q["reachable_with_cycles"]} == walks and len(q["reachable_with_cycles"]) == len(walks)
     assert sorted((r.source_idx, r.page_id) for r in q["merge_documents"]) == sorted((i % 3 + 1, i) for i in range(n))
+
+
+def test_audio_payload_that_looks_like_a_tag():
+    for units in (1, 3):
+        payload = mpeg_audio.padded(b"a" * (576 * (units - 1) + 521) + b"TAG" + b"b" * 10)
+        data = mpeg_audio.write_stream(payload)
+        assert data[-128:-125] == b"TAG"
+        audio = mpeg_audio.read_stream(data)
+        assert (audio.frames, audio.skipped, mpeg_audio.read_payload(data, audio)) == (units, 0, payload) and "title" not in audio.tags
+        # A real tag after it is still read.
+        tagged = mpeg_audio.read_stream(data + b"TAG" + b"name".ljust(125, b"\0"))
+        assert (tagged.frames, tagged.skipped, tagged.tags["title"]) == (units, 0, "name")
