@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, checkpointed, rows_of
+from quire.llm.common import bound_batches, checkpointed, keep_rows, quoted, rows_of
 
 #: Characters that don't count in the comparison, as a pattern.
 IGNORED = r"[\x20\x09-\x0D]+"
 #: Digests per shard of the merge tree, and runs merged at once.
-SHARD_ROWS, FAN_IN = 50_000, 16
+SHARD_ROWS, FAN_IN = 50_000, 4
 
 _KEY = ["digest", "norm_bytes", "norm_hash"]
 _ENTRY = f"shard int, run int, {'digest binary, norm_bytes int, norm_hash bigint'}, chars int, id bigint, row bigint, n bigint, ties bigint"
@@ -136,7 +136,7 @@ def merge_tree(base: DataFrame, shard_rows: int = SHARD_ROWS, fan_in: int = FAN_
         return pa.Table.from_batches(list(_batched(rows)), schema=_KIND)
 
     while True:
-        # Every round is a shuffle of the runs' entries alone; texts are never moved.
+        # Every round is a shuffle of the runs' entries alone.
         runs = runs.groupBy("shard", F.floor(F.col("run") / fan_in).alias("meet")).applyInArrow(merge, _ENTRY)
         parts = math.ceil(parts / fan_in)
         if parts <= 1:
@@ -144,12 +144,9 @@ def merge_tree(base: DataFrame, shard_rows: int = SHARD_ROWS, fan_in: int = FAN_
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows with their digests, entries of merge_tree), both cut from their lineage."""
-    base = checkpointed(
-        with_digest(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-        .drop("text")
-        .withColumn("row", F.monotonically_increasing_id())
-    )
+    """(rows with their digests and th, a hash of the whole text; entries of merge_tree), both cut from their lineage."""
+    own = docs.select(quoted(docs, id_col).cast("long").alias("id"), quoted(docs, text_col).alias("text"))
+    base = checkpointed(with_digest(own.withColumn("th", F.xxhash64("text")), "text").drop("text").withColumn("row", F.monotonically_increasing_id()))
     return base, merge_tree(base)
 
 
@@ -168,16 +165,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns and no others."""
-    _, entries = decide(docs, id_col, text_col)
-    names = {x: f"_keep_{x}" for x in (*_KEY, "chars")}
-    best = entries.select(*(F.col(x).alias(y) for x, y in names.items()), F.col("id").alias("_keep_id"), F.col("ties").alias("_keep_ties"))
-    # The documents' own digests come in one struct, so that no column name can clash.
-    own = with_digest(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text")), "_text").drop("_text")
-    match = [F.col(x) == F.col(names[x]) for x in names]
-    kept = own.join(best, [*match, F.col(f"_doc.{id_col}").eqNullSafe(F.col("_keep_id"))])
-    single = kept.filter("_keep_ties = 1").select("_doc.*")
-    if entries.filter("ties > 1").limit(1).count() == 0:
-        return single
-    repeated = kept.filter("_keep_ties > 1").dropDuplicates([*names, "_keep_id"]).select("_doc.*")
-    return single.unionByName(repeated)
+    """The rows of ``docs`` that stay, with all their columns and no others. Whole rows are shuffled only where they may go (see keep_rows)."""
+    base, entries = decide(docs, id_col, text_col)
+    best = entries.filter("n > 1").select(*_KEY, F.col("row").alias("keep_row"))
+    # A large group of copies is split on the rows' side by AQE; the entries' side has one row per text.
+    decided = base.join(best, _KEY).select("id", "th", (F.col("row") == F.col("keep_row")).alias("kept"))
+    return keep_rows(docs, decided, id_col, text_col)

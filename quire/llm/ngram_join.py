@@ -2,21 +2,24 @@
 
 Texts with the same set of n-grams form a class; classes are joined, copies are not. All documents' n-grams are counted in a sketch of
 fixed size, and a class's n-grams are ordered by that count, rarest first. Two sets that are similar enough share an n-gram in their
-prefixes of this order (prefix filter). Prefix entries meet by n-gram; pairs pass the length filter and the positional filter
-(how much can still be shared after this place), are made distinct, pass a suffix filter (a bound of the sets' difference from counts by
-hash range), and are verified once against the full sets, which are made again from the texts.
+prefixes of this order (prefix filter). Prefix entries meet by n-gram; pairs pass the length filter and the positional filter, are made
+distinct, pass a suffix filter (a bound of the sets' difference from counts by hash range), and are verified once against the full sets,
+which are made again from the texts.
 
-Entries that share an n-gram with few others are paired directly. For a frequent n-gram, only a star is paired first (sizes
-ascending, each with the current centre), and afterwards its entries in blocks of bounded size. ``join`` pairs all of them and so returns every
-link; its work grows with the number of links, the square of a group's size. ``join_components`` pairs them only across the components that
-the links found so far give: near copies by the thousands then cost a star, not a square, and no link that joins two components is lost, but
-most links inside a component are.
+The positional filter counts on the first n-gram that a pair shares: nothing before it is shared, so all of the intersection lies in what
+follows it in both sets. A similar pair passes there; whether it passes at a later n-gram doesn't matter.
+
+Entries that share an n-gram with few others are paired directly. The entries of a frequent n-gram are dealt to blocks of bounded size.
+``join`` pairs all of them, block by block, and so returns every link; its work grows with the number of links, the square of a group's size.
+``join_components`` first ties the entries of each block by a spanning forest of the pairs that pass, nearest by the suffix filter's bound first, and
+then pairs entries only across the components that these links give: near copies by the thousands cost about one link each, no link that
+joins two components is lost, but most links inside a component are.
 
 Hashes are 64 bits for n-grams and 128 bits for sets. Words are what white space ``[\\x20\\x09-\\x0D]`` separates, with A-Z in lower case.
 
 Defined results: a text without words (null too) has an empty set and is linked with nothing; one with fewer words than n has its whole sequence as
 one n-gram; a component's id is the smallest doc_id of its rows (null ids don't count; null if there is no other); repeated rows fall in one class;
-an empty table gives no row; other columns are ignored.
+an empty table gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,19 +31,22 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, checkpointed, map_batches, release, strings
+from quire.llm.common import bound_batches, checkpointed, emit_blocks, keep_rows, key_filter, map_batches, merge_blocks, release, strings
 
-#: Counters of the sketch, in blocks; blocks merged at once.
-SKETCH, BLOCK, MERGED = 1 << 18, 1 << 14, 64
+#: Counters of the sketch, in blocks.
+SKETCH, BLOCK = 1 << 18, 1 << 14
 #: Hash ranges in a set's signature; pairs of one centre that are verified in one group.
 RANGES, STAR_PAIRS = 128, 500
-#: Entries of an n-gram that are paired directly; entries in a block of a frequent one; bits of the filter of texts to verify.
-DIRECT, BLOCK_ENTRIES, FILTER_BITS = 8, 20_000, 1 << 24
-#: Entries in a block where all pairs count, as nearly all may pass.
-ALL_BLOCK_ENTRIES = 1_000
+#: Entries of an n-gram that are paired directly; entries in a block of a frequent one. A group holds two blocks at most, so at most
+#: the square of that many pairs are in memory at once.
+DIRECT, BLOCK_ENTRIES = 8, 2_000
+#: Entries of one n-gram, by the sketch's count, that may come to one task while entries are sorted.
+PIECE_ENTRIES = 50_000
+#: Frequent n-grams before an entry's own that the entry knows; a pair that shares one of them has met there.
+KNOWN_BEFORE = 4
 #: Words whose hashes a Python worker remembers.
 MAX_WORDS = 500_000
 
@@ -97,35 +103,7 @@ def _arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
-# --------------------------------------------------------------------------- fixed-size tables over all rows
-def _merge_blocks(blocks: DataFrame, parts: int, combine: np.ufunc, kind: str) -> np.ndarray:
-    """Arrays that partitions made in blocks (part, block, data), combined in rounds; the result's size doesn't depend on the rows."""
-    schema = "part bigint, block int, data binary"
-
-    def merge(table: pa.Table) -> pa.Table:
-        total: np.ndarray | None = None
-        for data in table.column("data"):
-            own = np.frombuffer(data.as_buffer(), dtype=kind)
-            total = own.copy() if total is None else combine(total, own, out=total)
-        part = table.column("part")[0].as_py() // MERGED
-        return pa.table({"part": pa.array([part], pa.int64()), "block": table.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
-
-    while True:
-        blocks = blocks.groupBy("block", F.floor(F.col("part") / MERGED).alias("meet")).applyInArrow(merge, schema)
-        parts = -(-parts // MERGED)
-        if parts <= 1:
-            break
-    rows = sorted((r["block"], bytes(r["data"])) for r in blocks.select("block", "data").collect())  # as many as blocks
-    return np.frombuffer(b"".join(data for _, data in rows), dtype=kind)
-
-
-def _emit_blocks(part: int, array: np.ndarray, size: int) -> pa.RecordBatch:
-    data = [array[i : i + size].tobytes() for i in range(0, len(array), size)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part] * len(data), pa.int64()), pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary())], names=["part", "block", "data"]
-    )
-
-
+# --------------------------------------------------------------------------- counts
 def ngram_counts(texts: DataFrame, n: int) -> np.ndarray:
     """Documents per n-gram, summed up by the low bits of its hash, over all rows."""
 
@@ -136,10 +114,10 @@ def ngram_counts(texts: DataFrame, n: int) -> np.ndarray:
             found = [shingle(t) for t in strings(batch.column(0))]
             if found:
                 counts += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        yield _emit_blocks(part, np.minimum(counts, 0xFFFFFFFF // 64).astype(np.uint32), BLOCK)
+        yield emit_blocks(part, np.minimum(counts, 0xFFFFFFFF // 64).astype(np.uint32), BLOCK)
 
     source = texts.select("text", F.spark_partition_id().cast("long").alias("part"))
-    return _merge_blocks(_arrow(source, run, "part bigint, block int, data binary"), source.rdd.getNumPartitions(), _saturating_add, "u4")
+    return merge_blocks(_arrow(source, run, "part bigint, block int, data binary"), source.rdd.getNumPartitions(), _saturating_add, "u4")
 
 
 def _saturating_add(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -181,13 +159,14 @@ def _described(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
     return map_batches(docs.select("id", F.xxhash64("text").alias("th"), "text"), make, "id bigint, th bigint, n bigint, digest binary, sig binary, prefix binary")
 
 
-#: An entry: n-gram, size and position in one number (so that entries sort by size), class.
+#: An entry: n-gram, size and position in one number (so that entries sort by size), class; and the piece of a very frequent n-gram, else 0.
 _ENTRY = "h bigint, at bigint, node bigint"
+_ENTRY_KIND = pa.schema([("h", pa.int64()), ("at", pa.int64()), ("node", pa.int64()), ("piece", pa.int32())])
 
 
-def _entries(nodes: DataFrame) -> DataFrame:
+def _entries(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
     """One row for every n-gram in a class's prefix."""
-    kind = pa.schema([("h", pa.int64()), ("at", pa.int64()), ("node", pa.int64())])
+    pieces = -(-counts.astype(np.int64) // PIECE_ENTRIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,19 +177,21 @@ def _entries(nodes: DataFrame) -> DataFrame:
             lengths = np.array(list(map(len, found)))
             h = np.concatenate(found)
             pos = np.concatenate([np.arange(n, dtype=np.int64) for n in lengths])
-            columns = (h, np.repeat(size, lengths) << 32 | pos, np.repeat(node, lengths))
+            of = np.repeat(node, lengths)
+            k = pieces[h & (SKETCH - 1)]
+            piece = np.where(k > 1, 1 + (of * 0x9E3779B1 >> 16) % np.maximum(k, 1), 0).astype(np.int32)
+            columns = (h, np.repeat(size, lengths) << 32 | pos, of, piece)
             for i in range(0, len(h), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], schema=_ENTRY_KIND)
 
-    return _arrow(nodes.select("node", "n", "prefix"), run, _ENTRY)
+    return _arrow(nodes.select("node", "n", "prefix"), run, f"{_ENTRY}, piece int")
 
 
 # --------------------------------------------------------------------------- filters
 def _passes(rule: Rule, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of one n-gram's entries (size and position) may be similar: length and positional filter."""
+    """Which pairs of one n-gram's entries (size and position) may be similar if it is the first that they share: length and positional filter."""
     sa, pos_a, sb, pos_b = a >> 32, a & 0xFFFFFFFF, b >> 32, b & 0xFFFFFFFF
-    # At best this n-gram and all behind it are shared, and all before both.
-    most = np.minimum(sa - pos_a, sb - pos_b) + np.minimum(pos_a, pos_b)
+    most = np.minimum(sa - pos_a, sb - pos_b)
     return (np.minimum(sa, sb) * 100 >= rule.percent * np.maximum(sa, sb)) & (most >= rule.overlap(sa, sb))
 
 
@@ -248,33 +229,19 @@ _FOUND = pa.schema([(name, pa.int64()) for name in ("a", "b", "h", "at", "node")
 
 
 def _first_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of few entries directly and of many by stars; and the entries of the latter, for later.
+    """Pairs (a, b) of few entries, and the entries (h, at, node) of frequent n-grams.
 
-    Entries come sorted by n-gram and size and are read as a stream; of an n-gram that goes on, DIRECT entries and a centre are kept.
+    Entries come sorted by n-gram and are read as a stream; of an n-gram that goes on, at most DIRECT entries are kept. A very frequent
+    n-gram comes in pieces, to several tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # entries of the n-gram that the last batch ended in, as long as they are few
         going: int | None = None  # the frequent n-gram that goes on
-        centre: tuple[int, int] = (0, 0)  # at, node
-
-        def stars(h: np.ndarray, at: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """The next entries of a frequent n-gram."""
-            nonlocal centre
-            i, size = 0, at >> 32
-            while i < len(h):
-                most = (centre[0] >> 32) * 100 // rule.percent
-                if size[i] > most:
-                    centre = (int(at[i]), int(node[i]))
-                    i += 1
-                    continue
-                j = int(np.searchsorted(size, most, "right"))
-                ok = _passes(rule, np.full(j - i, centre[0]), at[i:j])
-                if ok.any():
-                    yield _pairs_batch(np.full(int(ok.sum()), centre[1]), node[i:j][ok])
-                i = j
+
+        def frequent(h: np.ndarray, at: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
             none = pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(at), pa.array(node)], schema=_FOUND)
+            return pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(at), pa.array(node)], schema=_FOUND)
 
         def few(at: np.ndarray, node: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
             """All pairs inside short runs, by the distance of the two in the run."""
@@ -288,7 +255,7 @@ def _first_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
                     yield _pairs_batch(node[x][ok], node[x + d][ok])
 
         def take(c: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, going, centre
+            nonlocal held, going
             if held is not None:
                 c, held = [np.concatenate([a, b]) for a, b in zip(held, c, strict=True)], None
             h, at, node = c
@@ -296,113 +263,183 @@ def _first_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
                 return
             cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
             starts, ends = cuts[:-1], cuts[1:]
-            if going is not None and h[0] == going:
-                yield from stars(h[: ends[0]], at[: ends[0]], node[: ends[0]])
-                if len(starts) == 1:
-                    return
-                starts, ends = starts[1:], ends[1:]
-            going = None
-            if not last and ends[-1] - starts[-1] <= DIRECT:
+            many = ends - starts > DIRECT
+            many[0] |= going is not None and h[0] == going
+            if not last and not many[-1]:
                 held = [x[starts[-1] :].copy() for x in c]
-                starts, ends = starts[:-1], ends[:-1]
-            lengths = ends - starts
-            short = (lengths >= 2) & (lengths <= DIRECT)
+                starts, ends, many = starts[:-1], ends[:-1], many[:-1]
+            elif not last:
+                going = int(h[-1])
+            short = ~many & (ends - starts >= 2)
             if short.any():
                 yield from few(at, node, starts[short], ends[short])
-            for s, e in zip(starts[lengths > DIRECT], ends[lengths > DIRECT], strict=True):
-                centre = (0, 0)
-                yield from stars(h[s:e], at[s:e], node[s:e])
-                going = int(h[s]) if e == len(h) else None
+            if many.any():
+                chosen = np.repeat(many, ends - starts)
+                n = len(chosen)
+                yield frequent(h[:n][chosen], at[:n][chosen], node[:n][chosen])
 
         for batch in batches:
             if batch.num_rows:
-                yield from take([x.to_numpy(zero_copy_only=False) for x in batch.columns], False)
+                *c, piece = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+                if piece.any():  # pieces are frequent as such
+                    yield frequent(*(x[piece > 0] for x in c))
+                    c = [x[piece == 0] for x in c]
+                yield from take(c, False)
         yield from take([np.zeros(0, np.int64)] * 3, True)
 
-    ordered = entries.repartition("h").sortWithinPartitions("h", "at", "node")
+    ordered = entries.repartition("h", "piece").sortWithinPartitions("h", "at", "node")
     return _arrow(ordered, run, f"a bigint, b bigint, {_ENTRY}")
 
 
-def _later_pairs(entries: DataFrame, nodes: DataFrame, labels: DataFrame | None, rule: Rule) -> DataFrame:
-    """Pairs of the frequent n-grams' entries, through all filters: across components, or without labels all.
+class _Block:
+    """Entries of one n-gram, sorted by size."""
 
-    An n-gram with k blocks of entries is dealt to the k * (k + 1) / 2 pairs of blocks, so that a group holds at most two blocks.
+    def __init__(self, table: pa.Table, rule: Rule):
+        table = table.sort_by([("at", "ascending"), ("node", "ascending")])
+        self.rule = rule
+        self.at, self.node, self.comp, self.side = (table.column(x).to_numpy() for x in ("at", "node", "comp", "side"))
+        self.size, self.sig = self.at >> 32, _signatures(table.column("sig"))
+        before = table.column("before").combine_chunks()
+        self.before = before.flatten().to_numpy(zero_copy_only=False).reshape(-1, KNOWN_BEFORE)
+        self.known = self.before != _NONE
+
+    def candidates(self, x: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the entries y that may be similar to x, with the members that they may differ in beyond the signatures' difference."""
+        y = y[_passes(self.rule, np.full(len(y), self.at[x]), self.at[y])]
+        if not len(y):
+            return y, y
+        size = self.size[x] + self.size[y]
+        room = size - 2 * self.rule.overlap(self.size[x], self.size[y]) - np.abs(self.sig[y] - self.sig[x]).sum(axis=1)
+        return y[room >= 0], room[room >= 0]
+
+    def near(self, x: int) -> np.ndarray:
+        """Entries of similar length."""
+        percent = self.rule.percent
+        return np.arange(*np.searchsorted(self.size, [-(-self.size[x] * percent // 100), self.size[x] * 100 // percent + 1]))
+
+    def first_met(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Those of the entries y that aren't known to share an earlier frequent n-gram with x."""
+        same = (self.before[y][:, :, None] == self.before[x][None, None, :]) & self.known[x][None, None, :]
+        return y[~same.any(axis=(1, 2))]
+
+    def pairs(self, found: list[tuple[int, np.ndarray]]) -> pa.Table:
+        a = np.concatenate([np.full(len(y), self.node[x]) for x, y in found]) if found else np.zeros(0, np.int64)
+        b = np.concatenate([self.node[y] for _, y in found]) if found else np.zeros(0, np.int64)
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: In place of an n-gram before the first one.
+_NONE = -1
+
+
+def _placed(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(h, at, node, sig, before) of frequent n-grams' entries; before: the last few frequent n-grams ahead of it in its class's prefix."""
+    ahead = Window.partitionBy("node").orderBy("at")
+    before = F.array(*(F.lag("h", i, _NONE).over(ahead) for i in range(1, KNOWN_BEFORE + 1)))
+    return entries.join(nodes.select("node", "sig"), "node").withColumn("before", before)
+
+
+def _forest(n: int, x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Which of the edges x-y between n entries make a spanning forest, those with most room first (Boruvka's method)."""
+    order = np.argsort(-room, kind="stable")
+    x, y = x[order], y[order]
+    label, taken, left = np.arange(n), np.zeros(len(x), bool), np.arange(len(x))
+    while True:
+        left = left[label[x[left]] != label[y[left]]]
+        if not len(left):
+            return order[taken]
+        best = np.full(n, -1)
+        for end in (y, x):  # the last assignment stays: the edge with most room
+            now = best.copy()
+            now[label[end[left]][::-1]] = left[::-1]
+            best = np.where((now >= 0) & ((best < 0) | (now < best)), now, best)
+        for e in np.unique(best[best >= 0]):
+            a, b = label[x[e]], label[y[e]]
+            if a != b:
+                taken[e] = True
+                label[label == max(a, b)] = min(a, b)
+
+
+def _nearest_pairs(placed: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that tie the entries of a block together, those that may be most similar first: at most one for each entry.
+
+    Blocks are dealt anew for each n-gram, so that they overlap.
     """
+    sizes = placed.groupBy(F.col("h").alias("_h")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).alias("k"))
+    dealt = placed.join(sizes, F.col("h") == F.col("_h")).select(
+        "h", F.pmod(F.xxhash64("node", "h"), "k").alias("block"), "at", "node", F.col("node").alias("comp"), F.lit(0).alias("side"), "sig", "before"
+    )
+
+    def nearest(table: pa.Table) -> pa.Table:
+        block = _Block(table, rule)
+        found = [np.zeros((3, 0), np.int64)]
+        for x in range(len(block.at)):
+            y = block.near(x)
+            y, room = block.candidates(x, y[y > x])
+            found.append(np.stack([np.full(len(y), x), y, room]))
+        x, y, room = np.concatenate(found, axis=1)
+        kept = _forest(len(block.at), x, y, room)
+        return block.pairs([(int(a), np.array([b])) for a, b in zip(x[kept], y[kept], strict=True)])
+
+    return dealt.groupBy("h", "block").applyInArrow(nearest, "a bigint, b bigint")
+
+
+def _dealt_pairs(placed: DataFrame, labels: DataFrame | None, rule: Rule) -> DataFrame:
+    """Pairs of frequent n-grams' entries, through all filters: across components, or without labels all.
+
+    Of each n-gram, the entries of its most frequent component needn't meet one another. The others are dealt to blocks, and every two blocks meet
+    in a group (side 0 and 1); every block of the others also meets every block of the most frequent component (side 2).
+    """
+    own = placed.withColumn("comp", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    each = own.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = each.groupBy(F.col("h").alias("_h")).agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"))
     if labels is None:
-        own, most = entries.withColumn("comp", F.col("node")), ALL_BLOCK_ENTRIES
+        top, rest = F.lit(None).cast("bigint"), F.col("total")
     else:
-        own, most = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"), BLOCK_ENTRIES
-    mixed = own.groupBy(F.col("h").alias("mh")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("entries")).filter("c0 <> c1")
-    k = F.ceil(F.col("entries") / most).cast("int")
-    mine = own.join(mixed.select("mh", k.alias("k")), F.col("h") == F.col("mh")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    # A pair that shares several of these n-grams is met at the first of them: entries know the ones before them, at most a prefix.
-    order = F.transform(F.array_sort(F.collect_list(F.struct((F.col("at") % (1 << 32)).alias("pos"), "h"))), lambda x: x["h"])
-    mine = mine.join(mine.groupBy("node").agg(order.alias("all")), "node")
-    mine = mine.withColumn("before", F.slice("all", F.lit(1), F.array_position("all", F.col("h")).cast("int") - 1)).drop("all")
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "node", "comp", "before"
-    )
-    dealt = dealt.join(nodes.select("node", "sig"), "node")
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        top, rest = F.col("top.comp"), F.col("total") - F.col("top.n")
+    most = most.select("_h", top.alias("top"), F.ceil(rest / BLOCK_ENTRIES).cast("int").alias("k"), F.ceil((F.col("total") - rest) / BLOCK_ENTRIES).cast("int").alias("k_top"))
+    mine = own.join(most.filter("k > 0"), F.col("h") == F.col("_h")).withColumn("of_top", F.col("comp").eqNullSafe(F.col("top")))
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("of_top"), F.col("k_top")).otherwise(F.col("k"))).cast("int"))
+
+    def upto(k: str) -> Column:
+        return F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def place(kind: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    block = F.col("block")
+    of_top = F.transform(upto("k"), lambda i: place(1, i, block, F.lit(2)))
+    with_top = F.transform(upto("k_top"), lambda j: place(1, block, j, F.lit(0)))
+    with_others = F.transform(upto("k"), lambda o: place(0, F.least(block, o), F.greatest(block, o), block > o))
+    dealt = mine.withColumn("to", F.explode(F.when(F.col("of_top"), of_top).otherwise(F.concat(with_top, with_others))))
+    dealt = dealt.select("h", "to.kind", "to.i", "to.j", "to.side", "at", "node", "comp", "sig", "before")
 
     def pair(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("at", "ascending"), ("node", "ascending")])
-        block, at, node, comp = (table.column(x).to_numpy() for x in ("block", "at", "node", "comp"))
-        size, sig = at >> 32, _signatures(table.column("sig"))
-        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        names, counts = np.unique(comp, return_counts=True)
-        done = comp == names[np.argmax(counts)]  # entries of the most frequent component are met by the others, not by one another
-        before = [frozenset(b) for b in table.column("before").to_pylist()]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for x in np.flatnonzero(~done):
-            lo = int(np.searchsorted(size, -(-size[x] * rule.percent // 100)))
-            hi = int(np.searchsorted(size, size[x] * 100 // rule.percent, "right"))
-            y = np.arange(lo, hi)
-            # Of two entries outside of the most frequent component, the earlier meets the later.
-            y = y[(comp[lo:hi] != comp[x]) & (done[lo:hi] | (y > x))]
-            if across:
-                y = y[block[y] != block[x]]
+        across = table.column("kind")[0].as_py() == 1 or table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        block = _Block(table, rule)
+        found = []
+        for x in np.flatnonzero(block.side == 0) if across else range(len(block.at)):
+            y = block.near(x)
+            y = y[(block.side[y] > 0) if across else y > x]
+            y, _ = block.candidates(x, y[block.comp[y] != block.comp[x]])
+            y = block.first_met(x, y)
             if len(y):
-                y = y[_passes(rule, np.full(len(y), at[x]), at[y])]
-                y = y[np.abs(sig[y] - sig[x]).sum(axis=1) <= size[y] + size[x] - 2 * rule.overlap(size[y], size[x])]
-                y = np.array([i for i in y if before[i].isdisjoint(before[x])], dtype=np.int64)
-                out.append((np.full(len(y), node[x]), node[y]))
-        a = np.concatenate([p for p, _ in out]) if out else np.zeros(0, np.int64)
-        b = np.concatenate([q for _, q in out]) if out else np.zeros(0, np.int64)
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=kind)
+                found.append((x, y))
+        return block.pairs(found)
 
-    return dealt.groupBy("h", "i", "j").applyInArrow(pair, "a bigint, b bigint")
+    return dealt.groupBy("h", "kind", "i", "j").applyInArrow(pair, "a bigint, b bigint")
 
 
 # --------------------------------------------------------------------------- verification
 def _involved_texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
     """(id, th, text) of the documents that stand for classes to verify, and of some others.
 
-    The whole table passes a filter of fixed size by id hash, so that only few texts are shuffled in the exact join that follows.
+    The whole table passes a filter by id hash first, so that only few texts are shuffled in the exact join that follows.
     """
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, part = np.zeros(FILTER_BITS // 8, np.uint8), 0
-        for batch in batches:
-            if batch.num_rows:
-                part = batch.column(1)[0].as_py()
-                at = batch.column(0).to_numpy()
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield _emit_blocks(part, bits, 1 << 17)
-
-    def place(name: str) -> Any:
-        return F.pmod(F.xxhash64(F.coalesce(F.col(name), F.lit(-1))), F.lit(FILTER_BITS))
-
-    source = involved.select(place("id").alias("key"), F.spark_partition_id().cast("long").alias("part"))
-    bits = _merge_blocks(_arrow(source, mark, "part bigint, block int, data binary"), involved.rdd.getNumPartitions(), np.bitwise_or, "u1")
-
-    @F.arrow_udf("boolean")
-    def hit(at: pa.Array) -> pa.Array:
-        at = at.to_numpy(zero_copy_only=False)
-        return pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
+    hit = key_filter(involved.select(F.xxhash64(F.coalesce("id", F.lit(-1))).alias("key")))
     # The function sees the key alone; texts stay in the JVM.
-    return docs.withColumn("key", place("id")).filter(hit("key")).select("id", F.xxhash64("text").alias("th"), "text")
+    return docs.filter(hit(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1))))).select("id", F.xxhash64("text").alias("th"), "text")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -519,15 +556,18 @@ def _join(docs: DataFrame, rule: Rule, id_col: str, text_col: str, complete: boo
         .select(F.monotonically_increasing_id().alias("node"), "digest", "n", "sig", "prefix", F.col("k.id").alias("first_id"), F.col("k.th").alias("th"), "copies")
     )
     del described
-    met = checkpointed(_first_pairs(_entries(nodes), rule))
+    met = checkpointed(_first_pairs(_entries(nodes, counts), rule))
     nodes = checkpointed(nodes.drop("prefix"))
     release(docs)
-    pairs = checkpointed(_suffix_filter(met.filter("a is not null").select("a", "b").distinct(), nodes, rule))
+    placed = checkpointed(_placed(met.filter("h is not null").select("h", "at", "node"), nodes))
+    pairs = _suffix_filter(met.filter("a is not null").select("a", "b").distinct(), nodes, rule)
+    if not complete:
+        pairs = pairs.unionByName(_nearest_pairs(placed, rule)).distinct()
+    pairs = checkpointed(pairs)
     links = _verified(source, nodes, pairs, rule)
     release(docs)
     labels = checkpointed(components(links))
-    more = _later_pairs(met.filter("h is not null").select("h", "at", "node"), nodes, None if complete else labels, rule)
-    more = checkpointed(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = checkpointed(_dealt_pairs(placed, None if complete else labels, rule).distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.unionByName(_verified(source, nodes, more, rule))
         labels = checkpointed(components(links))
@@ -559,16 +599,10 @@ def link_counts(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: s
 
 def representatives(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id (null ids last), of such rows
-    the one whose text's hash is smallest, and one of repeated rows; every row with an empty set."""
+    the one whose text's hash is smallest, and one of repeated rows; every row with an empty set. Whole rows are shuffled only where they may go."""
     found = join_components(docs, rule, id_col, text_col)
     rows = found.rows.filter("digest is not null").join(found.classes.select(F.col("digest").alias("d"), "label"), F.col("digest") == F.col("d"))
-    alike = rows.groupBy("label", "id", "th").agg(F.count(F.lit(1)).alias("times"))
-    best = checkpointed(alike.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "times")).alias("k")).select("k.id", "k.th", "k.times"))
-    keys = best.select(F.col("id").alias("_keep_id"), F.col("th").alias("_keep_th"), F.col("times").alias("_keep_times"))
-    own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    own = own.withColumns({"_th": F.xxhash64("_text"), "_empty": F.regexp_replace(F.coalesce("_text", F.lit("")), r"[\x20\x09-\x0D]+", "") == ""}).drop("_text")
-    kept = own.filter("not _empty").join(keys, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_th") == F.col("_keep_th")))
-    out = own.filter("_empty").select("_doc.*").unionByName(kept.filter("_keep_times = 1").select("_doc.*"))
-    if best.filter("times > 1").limit(1).count() == 0:
-        return out
-    return out.unionByName(kept.filter("_keep_times > 1").dropDuplicates(["_keep_id", "_keep_th"]).select("_doc.*"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    best = rows.groupBy(F.col("label").alias("_label")).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    decided = rows.join(best, F.col("label") == F.col("_label")).select("id", "th", (order == F.col("best")).alias("kept"))
+    return keep_rows(docs, decided, id_col, text_col)
