@@ -9,8 +9,9 @@ padding. Sequences are then dealt to step groups so that the groups' attention c
 Packing needs no shuffle: every task packs its own documents, in rounds of a bounded number of tokens. Ids of sequences
 combine partition, round and number, so a task that runs again makes the same ids.
 
-Defined results: null text is empty (a document of the closing id alone); repeated rows are packed each by itself; an empty table
-gives no row; other columns are ignored.
+Defined results: null text is empty (a document of the closing id alone); a text of any length is packed as a whole, its tokens in memory in one
+task; pieces of equal length are packed in the order of their rows; repeated rows are packed each by itself; an empty table gives no row; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,67 +40,123 @@ ROUND_TOKENS, STEP_SEQUENCES = 2_000_000, 64
 #: Entries of the token cache of a Python worker, and the longest cached word.
 MAX_CACHED, CACHED_CHARS = 1_000_000, 40
 
-#: Characters that Python's str.split takes for white space and the tokenizer doesn't.
+#: Characters that str.isspace and the tokenizer take differently.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Texts of these characters alone may be put in lower case before the tokenizer does so itself, with the same result.
 _NOT_PLAIN = re.compile("[^\x00-\u024f\u2000-\u206f\u20ac]")
-#: A full stop or comma between a letter and white space is a token of its own.
-_STOP = re.compile(r"(?<=[^\W\d_\u0130])([.,])(?=\s|\Z)")
+#: Letters and then ASCII marks other than the apostrophe: two tokens' worth of text, each with an end of its own.
+_LETTERS_MARKS = re.compile(r"([^\W\d_]+)[!-&(-/:-@\[-^`{-~]+")
 #: Words that are given to the tokenizer as one text.
 JOINED = 256
 
 
 class WordTokenizer:
-    """A tokenizer that never joins text across white space, with a bounded cache of words."""
+    """A tokenizer that never joins text across white space, with a bounded cache of words.
+
+    Special tokens' strings in a text become their ids, as the tokenizer itself does by default: they are looked for in the text as it is, before anything
+    else, and parts between them are words of their own. Words are then given to it with that recognition switched off.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word or not t.special for t in added.values()):
+            raise ValueError("added tokens that aren't plain special strings aren't supported")
+        self.special = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache: dict[str, bytes] = {}
 
-    def _words(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> list[str | bytes]:
+        """Strings to be parted into words, and ids that are known already."""
+        if self.specials and any(x in text for x in self.special):
+            cut = self.specials.split(text)
+            return [x for i, part in enumerate(cut) for x in ([self.special[part]] if i % 2 else self._plain_parts(part))]
+        return self._plain_parts(text)
+
+    def _plain_parts(self, text: str) -> list[str | bytes]:
         if _ODD_SPACE.search(text):
-            return [text]
-        if not _NOT_PLAIN.search(text):
-            text = text.lower()
-        return _STOP.sub(r" \1", text).split()
+            return self._each([text])
+        return [text if _NOT_PLAIN.search(text) else text.lower()]
 
     def _each(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words. Words of letters have one end each, so many are encoded as one text and told apart by their ends."""
-        letters = [w for w in words if w.isalpha()]
+        """Ids of distinct words. Words whose number of ends is known are encoded many at once and told apart by their ends."""
+        known: list[tuple[str, int]] = []
+        for w in words:
+            if w.isalpha():
+                known.append((w, 1))
+            elif (m := _LETTERS_MARKS.fullmatch(w)) and m[1].isalpha():
+                known.append((w, 2))
         out: dict[str, bytes] = {}
-        groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
-        made = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        groups = [known[i : i + JOINED] for i in range(0, len(known), JOINED)]
+        made = self.tokenizer.encode_batch_fast([" ".join([w for w, _ in g]) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, made, strict=True):
             ids = np.array(encoding.ids, dtype="<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) == len(group):
+            last = np.cumsum([n for _, n in group])
+            if len(ends) == last[-1]:
                 data = ids.tobytes()
-                bounds = [0, *ends.tolist()]
-                out.update((w, data[a:b]) for w, a, b in zip(group, bounds, bounds[1:], strict=False))
+                bounds = [0, *ends[last - 1].tolist()]
+                out.update((w, data[a:b]) for (w, _), a, b in zip(group, bounds, bounds[1:], strict=False))
         rest = [w for w in words if w not in out]
         out.update(zip(rest, self._each(rest), strict=True))
         return out
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the cache where they are in it; a full stop or comma behind a letter is a token of its own."""
         cache = self.cache
         if len(cache) > MAX_CACHED:
             cache.clear()
-        words = [self._words(t) for t in texts]
-        own = self._encode(list({w for ws in words for w in ws if w not in cache}))
-        get, other = cache.get, own.get
-        out = [b"".join([get(w) or other(w, b"") for w in ws]) for ws in words]
-        cache.update((w, ids) for w, ids in own.items() if len(w) <= CACHED_CHARS)
+        out = list(map(cache.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        stems: dict[int, str] = {}
+        alone: set[str] = set()
+        for i in missing:
+            w = words[i]
+            if w[-1:] in (".", ",") and len(w) > 1 and w[-2].isalpha() and w[-2] != "\u0130":
+                stems[i] = stem = w[:-1]
+                alone.add(stem)
+                alone.add(w[-1])
+            else:
+                alone.add(w)
+        made = self._encode(list(alone.difference(cache)))
+        cache.update(made)
+        for i in missing:
+            w = words[i]
+            if stem := stems.get(i):
+                out[i] = ids = cache[stem] + cache[w[-1]]
+                if len(w) <= CACHED_CHARS:
+                    cache[w] = ids
+            else:
+                out[i] = cache[w]
+        for w in made:
+            if len(w) > CACHED_CHARS:
+                del cache[w]
+        return out  # type: ignore[return-value]
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers. Words are parted, made distinct and put together again by Arrow."""
+        parts = [self._parts(t) for t in texts]
+        rows = pc.ascii_split_whitespace(pa.array([x for own in parts for x in own if isinstance(x, str)], pa.large_string()))
+        words = rows.flatten().dictionary_encode()
+        placed = pa.array(self._ids(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        _, ends, data = placed.buffers()
+        data = memoryview(data or b"")
+        at = np.frombuffer(ends, np.int64)[rows.offsets.to_numpy()].tolist() if ends else [0] * (len(rows) + 1)
+        spans = iter(zip(at, at[1:], strict=False))
+        out = []
+        for own in parts:
+            found = [x if isinstance(x, bytes) else data[slice(*next(spans))] for x in own]
+            out.append(bytes(found[0]) if len(found) == 1 else b"".join(found))
         return out
 
 
