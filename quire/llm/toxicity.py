@@ -6,9 +6,11 @@ the other terms of its category and by a neutral word, and the squared change of
 mentions are pulled together and towards a neutral word's, and neutral mentions don't raise the score.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS per class, by a hash of the id); features come from that sample alone, and the
-driver receives only the sample's selected features. Every whole text is scored, by executors, without a shuffle.
+driver receives only the sample's selected features. Both classes weigh as TOXIC_WEIGHT says whatever their numbers are, so that a score means
+the same on tables of any size. Every whole text is scored, by executors, without a shuffle.
 
-Defined results: a null or empty text gets the score of a text without features; a label of a document without a row is not used; of contradicting
+Defined results: a null or empty text gets the score of a text without features; a text of any length is scored as a whole; texts with the same
+words tie; a label of a document without a row is not used; of contradicting
 labels of a document the toxic one counts, null labels are ignored; if a class has no labelled row, every score is the share of toxic rows
 (0 if there is none); repeated rows get equal scores; an empty table gives no row; other columns are ignored.
 """
@@ -32,10 +34,8 @@ from quire.llm.common import held_out, map_batches, strings
 SAMPLE_ROWS, MAX_FEATURES, MIN_ROWS = 6000, 4000, 5
 #: Least likelihood ratio of a feature.
 MIN_RATIO = 15.0
-#: Strength of the counterfactual penalty and of the ridge; steps of training.
-COUNTERFACTUAL, RIDGE, STEPS = 1.0, 1e-5, 400
-#: Sentences with identity terms that are taken from a document for the penalty.
-MAX_SENTENCES = 20
+#: Strength of the counterfactual penalty and of the ridge; steps of training; share of the toxic rows in the loss.
+COUNTERFACTUAL, RIDGE, STEPS, TOXIC_WEIGHT = 1.0, 1e-5, 400, 0.3
 
 #: Identity terms by category; the first of each is the neutral word.
 IDENTITY = {
@@ -72,15 +72,9 @@ def words_of(text: str) -> list[str]:
 
 def counterfactuals(text: str) -> Iterator[tuple[list[str], list[str]]]:
     """(sentence's words, words after a swap) for the sentences that hold identity terms."""
-    found = 0
     for sentence in _SENTENCE.split(text):
         words = words_of(sentence)
         named = [w for w in set(words) if w in _CATEGORY]
-        if not named:
-            continue
-        found += 1
-        if found > MAX_SENTENCES:
-            return
         for term in named:
             for other in _CATEGORY[term]:
                 if other != term:
@@ -112,32 +106,21 @@ class Model:
         return 1.0 / (1.0 + math.exp(-z)) if z > -700 else 0.0
 
 
-def select(counts: Iterable[tuple[str, int, int]], n_toxic: int, n_clean: int, limit: int = MAX_FEATURES) -> list[str]:
-    """The features with the largest likelihood ratio against independence of the label; counts: feature, toxic rows, clean rows.
+Swap = tuple[tuple[int, ...], tuple[int, ...]]
 
-    Only features that are more frequent in toxic rows, and the identity terms.
-    """
-    ranked = []
-    for f, tox, clean in counts:
-        if f in _CATEGORY:
-            ranked.append((math.inf, f))
-            continue
-        n, total = tox + clean, n_toxic + n_clean
-        if n < MIN_ROWS or tox * n_clean <= clean * n_toxic:
-            continue
-        cells = ((tox, n_toxic * n / total), (clean, n_clean * n / total), (n_toxic - tox, n_toxic * (total - n) / total), (n_clean - clean, n_clean * (total - n) / total))
-        ranked.append((2 * sum(o * math.log(o / e) for o, e in cells if o and e), f))
-    return [f for g, f in sorted(ranked, key=lambda x: (-x[0], x[1])) if g > MIN_RATIO][:limit]
 
-
-def fit(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], names: list[str], penalty: float = COUNTERFACTUAL, steps: int = STEPS) -> Model:
-    """Full-batch training on (features, label) rows and (features, swapped features) pairs, by Adam."""
+def fit(
+    rows: list[tuple[list[int], int]], swaps: dict[Swap, int], names: list[str], penalty: float = COUNTERFACTUAL, steps: int = STEPS, toxic_weight: float = TOXIC_WEIGHT
+) -> Model:
+    """Full-batch training on (features, label) rows and on swaps (features that go and that come, and how often), by Adam."""
     n = len(names)
     y = np.array([label for _, label in rows], dtype=float)
     at = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     col = np.concatenate([np.array(f, dtype=int) for f, _ in rows]) if rows else np.zeros(0, int)
-    weight = 1 / max(1, len(rows))
-    # A pair's change of logit is linear in the weights: minus what goes, plus what comes.
+    weight = np.where(y > 0, toxic_weight / max(1, y.sum()), (1 - toxic_weight) / max(1, (1 - y).sum()))
+    # A swap's change of logit is linear in the weights: minus what goes, plus what comes.
+    pairs = sorted(swaps)
+    often = np.array([swaps[p] for p in pairs], dtype=float)
     p_at = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
     p_col = np.concatenate([np.array(a + b, dtype=int) for a, b in pairs]) if pairs else np.zeros(0, int)
     p_sign = np.concatenate([np.r_[-np.ones(len(a)), np.ones(len(b))] for a, b in pairs]) if pairs else np.zeros(0)
@@ -148,8 +131,8 @@ def fit(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int
         gap = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * weight
         grad = np.bincount(col, gap[at], minlength=n) + RIDGE * w
         if len(pairs):
-            change = np.bincount(p_at, w[p_col] * p_sign, minlength=len(pairs))
-            grad += 2 * penalty / len(pairs) * np.bincount(p_col, change[p_at] * p_sign, minlength=n)
+            change = np.bincount(p_at, w[p_col] * p_sign, minlength=len(pairs)) * often
+            grad += 2 * penalty / often.sum() * np.bincount(p_col, change[p_at] * p_sign, minlength=n)
         g = np.r_[grad, gap.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -157,6 +140,17 @@ def fit(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if x}, float(bias))
 
 
+def _likelihood(n_toxic: int, n_clean: int) -> Column:
+    """The likelihood ratio of a feature (columns toxic and clean: rows that hold it) against independence of the label."""
+    n, total = F.col("toxic") + F.col("clean"), n_toxic + n_clean
+    cells = (
+        (F.col("toxic"), n * (n_toxic / total)), (F.col("clean"), n * (n_clean / total)),
+        (n_toxic - F.col("toxic"), (total - n) * (n_toxic / total)), (n_clean - F.col("clean"), (total - n) * (n_clean / total)),
+    )
+    parts = [F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0)) for seen, expected in cells]
+    return 2 * (parts[0] + parts[1] + parts[2] + parts[3])
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", penalty: float = COUNTERFACTUAL) -> Model:
     """A model from a bounded sample of the labelled rows that aren't held out."""
     rated = (
@@ -196,36 +190,36 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_pydict({"feature": part, "toxic": [seen[1][f] for f in part], "clean": [seen[0][f] for f in part]})
 
         counts = texts.mapInArrow(count, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        # Only features that can be chosen reach the driver, and of those the ones with most toxic rows.
-        likely = counts.filter((F.col("toxic") + F.col("clean") >= MIN_ROWS) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic)).orderBy(
-            (F.col("clean") / F.col("toxic")), F.desc("toxic"), "feature"
-        )
-        found = [tuple(r) for r in likely.limit(10 * MAX_FEATURES).collect()]
-        names = select([f for f in found if f[0] not in _CATEGORY], n_toxic, n_clean)
-        names += sorted(set(_CATEGORY) - set(names))
+        # Features that are more frequent in toxic rows, those with the largest likelihood ratio; and the identity terms.
+        own = F.col("feature").isin(*_CATEGORY)
+        likely = counts.filter((F.col("toxic") + F.col("clean") >= MIN_ROWS) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic) & ~own)
+        ranked = likely.withColumn("g", _likelihood(n_toxic, n_clean)).filter(F.col("g") > MIN_RATIO).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES)
+        names = sorted(r["feature"] for r in ranked.select("feature").collect()) + sorted(_CATEGORY)
         index = {f: i for i, f in enumerate(names)}
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows of a label and features, and rows of a swap's features and its count, which are few different ones."""
+            schema = pa.schema([("label", pa.int32()), ("own", pa.list_(pa.int32())), ("come", pa.list_(pa.int32())), ("n", pa.int64())])
+            swaps: Counter[Swap] = Counter()
             for batch in batches:
-                out: dict[str, list] = {"label": [], "own": [], "gone": [], "come": []}
+                out = []
                 for label, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-                    own = sorted(index[f] for f in features(words_of(text)) if f in index)
-                    swaps = [({index[f] for f in features(a) if f in index}, {index[f] for f in features(b) if f in index}) for a, b in counterfactuals(text)]
-                    out["label"].append(label)
-                    out["own"].append(own)
-                    out["gone"].append([sorted(a - b) for a, b in swaps])
-                    out["come"].append([sorted(b - a) for a, b in swaps])
-                yield pa.RecordBatch.from_pydict(
-                    out, schema=pa.schema([("label", pa.int32()), ("own", pa.list_(pa.int32())), ("gone", pa.list_(pa.list_(pa.int32()))), ("come", pa.list_(pa.list_(pa.int32())))])
-                )
-
-        got = texts.mapInArrow(vectors, "label int, own array<int>, gone array<array<int>>, come array<array<int>>").collect()  # bounded by the sample
+                    out.append({"label": label, "own": sorted(index[f] for f in features(words_of(text)) if f in index)})
+                    for a, b in counterfactuals(text):
+                        before, after = set(a) & _CATEGORY.keys(), set(b) & _CATEGORY.keys()
+                        swaps[tuple(sorted(index[f] for f in before - after)), tuple(sorted(index[f] for f in after - before))] += 1
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield pa.RecordBatch.from_pylist([{"own": a, "come": b, "n": n} for (a, b), n in sorted(swaps.items())], schema=schema)
+
+        got = texts.mapInArrow(vectors, "label int, own array<int>, come array<int>, n bigint").collect()  # bounded by the sample
     finally:
         texts.unpersist()
-    got.sort(key=lambda r: (r["label"], r["own"]))
-    rows = [(r["own"], r["label"]) for r in got]
-    pairs = [(a, b) for r in got for a, b in zip(r["gone"], r["come"], strict=True)]
-    return fit(rows, pairs, names, penalty)
+    rows = sorted([(r["own"], r["label"]) for r in got if r["n"] is None], key=lambda x: (x[1], x[0]))
+    swaps: Counter[Swap] = Counter()
+    for r in got:
+        if r["n"] is not None:
+            swaps[tuple(r["own"]), tuple(r["come"])] += r["n"]
+    return fit(rows, swaps, names, penalty)
 
 
 @functools.lru_cache(maxsize=2)
