@@ -40,6 +40,8 @@ Env = dict[str, Any]
 PART_CHARS = 1 << 20
 #: Longest text that a template's own ``*`` may make.
 MAX_REPEAT = 10_000
+#: Longest text or list that a template may make, and longest one that may be put to another of that length or more.
+MAX_MADE, MAX_JOINED = 1 << 27, 1 << 20
 
 
 class TemplateError(ValueError):
@@ -355,13 +357,27 @@ def _times(a: Any, b: Any) -> Any:
     return a * b
 
 
+def _made(x: Any) -> Any:
+    """A value that the template made, if it isn't too large."""
+    if isinstance(x, (str, list)) and len(x) > MAX_MADE:
+        raise TemplateError("a value grows too large")
+    return x
+
+
+def _joined(a: Any, b: Any) -> Any:
+    """Two texts or lists put together: the shorter one is bounded, so that doubling ends soon while a long text may get a frame."""
+    if isinstance(b, (str, list)) and min(len(a), len(b)) > MAX_JOINED:
+        raise TemplateError("a value grows too large")
+    return _made(a + b)
+
+
 _OPS: dict[str, Callable[[Any, Any], Any]] = {
-    "+": lambda a, b: a + b,
+    "+": lambda a, b: _joined(a, b) if isinstance(a, (str, list)) else a + b,
     "-": lambda a, b: a - b,
     "*": _times,
     "//": lambda a, b: a // b,
     "%": lambda a, b: a % b if isinstance(a, int) else _refuse("%"),
-    "~": lambda a, b: _shown(a) + _shown(b),
+    "~": lambda a, b: _joined(_shown(a), _shown(b)),
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
     "<": lambda a, b: a < b,
@@ -391,11 +407,11 @@ def _item(base: Any, key: Any) -> Any:
 def _filters(escaper: Escaper) -> dict[str, Callable[[Any], Any]]:
     return {
         "trim": lambda x: _shown(x).strip(),
-        "upper": lambda x: _shown(x).upper(),
-        "lower": lambda x: _shown(x).lower(),
+        "upper": lambda x: _made(_shown(x).upper()),
+        "lower": lambda x: _made(_shown(x).lower()),
         "length": lambda x: len(x),
-        "string": _shown,
-        "escape": lambda x: escaper.escape(_shown(x)),
+        "string": lambda x: _made(_shown(x)),
+        "escape": lambda x: _made(escaper.escape(_shown(x))),
     }
 
 
