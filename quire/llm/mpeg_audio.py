@@ -5,11 +5,12 @@ points), then one frame of 1152 samples for every 576 bytes of payload. A frame
 granules (part2_3_length 0), the payload as ancillary data, and padding; 576 one-byte units per frame, lossless.
 
 The reader takes any bytes: it skips ID3v2 tags, parses ID3v1, searches for a frame header where the next one isn't in place, accepts a
-header if another follows where it says (or the data end there), checks CRC-16 where a frame has it, reads Xing/Info and VBRI tables, and gives
-exact durations (samples over rate) and every frame's offset. Runs of equal frames are parsed by numpy at once.
+header if another follows where it says (or the data end there), checks CRC-16 where a frame of any layer has it, reads Xing/Info and VBRI tables with
+their seek points, and gives exact durations (samples over rate) and every frame's offset. Runs of equal frames are parsed by numpy at once.
 
-Defined results: null text is an empty payload (one frame of padding bytes); equal texts give equal media; bytes without any frame give no
-frame and duration 0; skipped bytes are counted; repeated rows get equal results; an empty table gives no row.
+Defined results: null text is an empty payload (one frame of padding bytes); equal texts give equal media; a text of any length is one stream, held in
+memory by one task; bytes without any frame give no frame and duration 0; skipped bytes are counted; a table that is cut off gives the seek points
+that are there; repeated rows get equal results; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,14 @@ _BITRATES = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Fixed values of the format: (subbands, bits of their allocation) in layer II, by the table's name.
+_ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
 
 
 @dataclass(frozen=True)
@@ -51,6 +60,7 @@ class Header:
     rate: int
     padding: int
     mono: bool
+    bound: int  # the first subband whose allocation both channels share (layers I and II)
 
     @property
     def samples(self) -> int:
@@ -71,6 +81,20 @@ class Header:
             return 0
         return (17 if self.mono else 32) if self.version == 3 else (9 if self.mono else 17)
 
+    @property
+    def allocation(self) -> list[int]:
+        """Bits of each subband's allocation (layers I and II)."""
+        if self.layer == 1:
+            return [4] * 32
+        each = self.bitrate // (1 if self.mono else 2)
+        if self.version != 3:
+            name = "low"
+        elif each <= 48_000:
+            name = "d" if self.rate == 32000 else "c"
+        else:
+            name = "a" if self.rate == 48000 or each <= 80_000 else "b"
+        return [bits for n, bits in _ALLOCATION[name] for _ in range(n)]
+
 
 @functools.lru_cache(maxsize=4096)
 def parse_header(four: bytes) -> Header | None:
@@ -82,7 +106,7 @@ def parse_header(four: bytes) -> Header | None:
     if version == 1 or layer == 4 or bitrate in (0, 15) or rate == 3 or four[3] & 3 == 2:
         return None
     kbit = _BITRATES[(1 if version == 3 else 2, layer)][bitrate]
-    return Header(version, layer, not four[1] & 1, kbit * 1000, _RATES[version][rate], four[2] >> 1 & 1, four[3] >> 6 == 3)
+    return Header(version, layer, not four[1] & 1, kbit * 1000, _RATES[version][rate], four[2] >> 1 & 1, four[3] >> 6 == 3, 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 32)
 
 
 @functools.cache
@@ -104,6 +128,15 @@ def crc16(data: bytes, start: int = 0xFFFF) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int, start: int = 0xFFFF) -> int:
+    """The same over the first so many bits."""
+    c = crc16(data[: bits // 8], start)
+    for i in range(bits // 8 * 8, bits):
+        bit = data[i // 8] >> (7 - i % 8) & 1
+        c = (c << 1 ^ 0x8005 if (c >> 15) ^ bit else c << 1) & 0xFFFF
+    return c
+
+
 # --------------------------------------------------------------------------- writing
 #: MPEG-1, layer III, protected, 224 kbit/s, 48 kHz, mono: frames of 672 bytes.
 _HEADER = bytes((0xFF, 0xFA, 0xC4, 0xC0))
@@ -155,6 +188,9 @@ class Audio:
     skipped: int = 0
     table: str = ""
     table_frames: int = 0
+    table_bytes: int = 0
+    #: Byte offsets from the table's frame on: of each hundredth of the duration (Xing, Info), or of each entry (VBRI).
+    seek: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     tags: dict[str, str] = field(default_factory=dict)
 
 
@@ -182,24 +218,53 @@ def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     return end + (10 if data[at + 5] & 0x10 and end < len(data) else 0)
 
 
+def _number(data: bytes, at: int, size: int) -> int:
+    return int.from_bytes(data[at : at + size], "big")
+
+
 def _table(data: bytes, at: int, header: Header, out: Audio) -> bool:
     """Reads a variable-bitrate table in a frame; whether there is one."""
     body = at + 4 + (2 if header.protected else 0) + header.side
+    end = min(len(data), at + header.size)
     for place in {body, at + 4 + header.side}:
         if data[place : place + 4] in (b"Xing", b"Info"):
             out.table = data[place : place + 4].decode()
-            if int.from_bytes(data[place + 4 : place + 8], "big") & 1:
-                out.table_frames = int.from_bytes(data[place + 8 : place + 12], "big")
+            flags, place = _number(data, place + 4, 4), place + 8
+            if flags & 1:
+                out.table_frames, place = _number(data, place, 4), place + 4
+            if flags & 2:
+                out.table_bytes, place = _number(data, place, 4), place + 4
+            if flags & 4:
+                points = np.frombuffer(data[place : min(end, place + 100)], dtype=np.uint8).astype(np.int64)
+                out.seek = points * out.table_bytes // 256
             return True
     if data[at + 36 : at + 40] == b"VBRI":
-        out.table, out.table_frames = "VBRI", int.from_bytes(data[at + 50 : at + 54], "big")
+        out.table, out.table_bytes, out.table_frames = "VBRI", _number(data, at + 46, 4), _number(data, at + 50, 4)
+        entries, scale, size = (_number(data, at + i, 2) for i in (54, 56, 58))
+        place = at + 62
+        steps = [_number(data, i, size) for i in range(place, min(end - size, place + (entries - 1) * size) + 1, size)] if size in (1, 2, 3, 4) else []
+        # An entry says how many bytes its frames take; the first frames follow the table's own.
+        out.seek = header.size + np.cumsum([0, *steps[:-1]]) * scale if steps else out.seek
         return True
     return False
 
 
 def _checked(data: bytes, at: int, header: Header) -> bool:
-    """Whether a layer III frame's checksum is right."""
-    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + header.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+    """Whether a frame's checksum is right: it covers the header's second half and the side information, or the allocation of bits."""
+    stored, first = _number(data, at + 4, 2), crc16(data[at + 2 : at + 4])
+    body = data[at + 6 : at + header.size]
+    if header.layer == 3:
+        return crc16(body[: header.side], first) == stored
+    # Layers I and II: each channel's allocation up to the bound, a common one from there on; in layer II two bits for each that isn't zero.
+    bits = int.from_bytes(body[:64].ljust(64, b"\0"), "big")
+    used = chosen = 0
+    for band, width in enumerate(header.allocation):
+        common = band >= header.bound
+        for _ in range(1 if header.mono or common else 2):
+            chosen += bool(bits >> (512 - used - width) & ((1 << width) - 1)) * (2 if common and not header.mono else 1)
+            used += width
+    used += 2 * chosen if header.layer == 2 else 0
+    return used <= 8 * len(body) and crc16_bits(body, used, first) == stored
 
 
 def read_stream(data: bytes) -> Audio:
@@ -242,12 +307,12 @@ def read_stream(data: bytes) -> Audio:
         # The run of frames that begin just like this one is taken at once.
         size, most = header.size, (end - at) // header.size
         head = view[at : at + most * size].reshape(most, size)
-        front = 4 + ((2 + header.side) if header.protected and header.layer == 3 else 0)
+        front = 4 + ((2 + (header.side or 64)) if header.protected else 0)  # what the checksum covers is within it
         same = (head[:, :front] == head[0, :front]).all(axis=1)
         run = int(most if same.all() else np.argmin(same))
         offsets.append(at + size * np.arange(run, dtype=np.int64))
         sizes.append(np.full(run, size, dtype=np.int32))
-        if header.protected and header.layer == 3:
+        if header.protected:
             out.checked += run  # equal headers, side information and checksums: one check holds for all
             out.bad_checks += 0 if _checked(data, at, header) else run
         out.frames += run
@@ -293,7 +358,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 DECODED = (
     "doc_id bigint, n_bytes bigint, media binary, payload binary, frames int, sample_rate int, samples bigint, duration_us bigint, "
-    "checked int, bad_checks int, skipped_bytes bigint, seek_table string, table_frames int, tags map<string,string>, frame_offsets array<int>"
+    "checked int, bad_checks int, skipped_bytes bigint, seek_table string, table_frames int, tags map<string,string>, frame_offsets array<bigint>, seek_offsets array<bigint>"
 )
 
 
@@ -304,7 +369,7 @@ def decode_media(media: DataFrame) -> DataFrame:
             ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("frames", pa.int32()),
             ("sample_rate", pa.int32()), ("samples", pa.int64()), ("duration_us", pa.int64()), ("checked", pa.int32()), ("bad_checks", pa.int32()),
             ("skipped_bytes", pa.int64()), ("seek_table", pa.string()), ("table_frames", pa.int32()), ("tags", pa.map_(pa.string(), pa.string())),
-            ("frame_offsets", pa.list_(pa.int32())),
+            ("frame_offsets", pa.list_(pa.int64())), ("seek_offsets", pa.list_(pa.int64())),
         ]
     )
 
@@ -315,7 +380,7 @@ def decode_media(media: DataFrame) -> DataFrame:
                 data = data or b""
                 a = read_stream(data)
                 row = (doc_id, n, data, read_payload(data, a), a.frames, a.rate, a.samples, a.duration_us, a.checked, a.bad_checks, a.skipped, a.table, a.table_frames)
-                for c, v in zip(out, (*row, sorted(a.tags.items()), a.offsets), strict=True):
+                for c, v in zip(out, (*row, sorted(a.tags.items()), a.offsets, a.seek), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
 
