@@ -9,7 +9,8 @@ attempt first, then moved to a name that depends on the partition alone, so that
 
 Defined results: null html is an empty payload; payloads of at least MIN_REVISIT bytes that are equal make one response, the row with the
 smallest page_id (rows that repeat this id are responses too), and all others revisit it; null ids are larger than any, and a group of null ids alone is all
-responses; an empty table writes no record; other columns are ignored.
+responses; an empty table writes no record; a payload of any length is one record, held in memory by one
+task; repeated rows are records of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import common
 from quire.llm.common import bound_batches, checkpointed, rows_of
 
 #: Shortest payload in bytes that is stored once; bytes of an archive file, about; gzip's level.
 MIN_REVISIT, ARCHIVE_BYTES, LEVEL = 100, 32 << 20, 1
+#: Reading tasks at most; with more archives than that a task reads several, one after the other.
+MOST_TASKS = 100_000
 
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -261,17 +265,13 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return paths.repartition("path").mapInArrow(run, RECORDS)
+    # Paths are short, so a partitioning by size would read all archives in one task; there is one task for each archive instead.
+    return paths.repartition(min(MOST_TASKS, max(1, paths.count()))).mapInArrow(run, RECORDS)
 
 
 def shared_folder(df: DataFrame, name: str) -> str:
     """A new folder's URI below the session's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    base = sc.getCheckpointDir()
+    base = common.shared_folder(df.sparkSession)
     base = re.sub(r"^file:/+", "file:///", base) if base.startswith("file:") else base
     return f"{base if '://' in base else f'file://{base}'}/{name}-{uuid.uuid4().hex}"
 
