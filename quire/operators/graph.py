@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import checkpointed
+
 
 def resolve(edges: DataFrame, objects: DataFrame, key: str) -> DataFrame:
     """Every edge (src, dst) with its object's columns; a reference without an object gives nulls."""
@@ -20,7 +22,8 @@ def reachable(edges: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
     frontier = seen
     for depth in range(1, limit + 1):
         step = frontier.join(edges, frontier.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        fresh = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        fresh = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        fresh = checkpointed(fresh)
         if not fresh.take(1):
             break
         seen = seen.unionByName(fresh)

@@ -6,6 +6,11 @@ every table carries line and word numbers and character offsets.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +45,25 @@ def words(docs: DataFrame) -> DataFrame:
 
 
 def words_of(lines_df: DataFrame) -> DataFrame:
-    """The words of lines (doc_id, line_no, text), whose other columns stay."""
-    parts = lines_df.select(*(c for c in lines_df.columns if c != "text"), F.posexplode(F.split("text", " ", -1)).alias("word_no", "text"))
-    before = Window.partitionBy("doc_id", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
-    return parts.withColumn("col_no", at).filter("text <> ''")
+    """The words of lines (doc_id, line_no, text), whose other columns stay. A line's words come from its own row, so nothing is shuffled."""
+    keys = [c for c in lines_df.columns if c != "text"]
+    source = lines_df.select(*keys, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = pc.split_pattern(batch.column(len(keys)).fill_null(""), " ")
+            line, text = pc.list_parent_indices(parts), parts.flatten()
+            first = parts.offsets.to_numpy()[line.to_numpy()]
+            lengths = pc.utf8_length(text).to_numpy()
+            before = np.cumsum(lengths + 1, dtype=np.int64) - lengths - 1
+            number = np.arange(len(lengths)) - first
+            kept = pa.array(np.flatnonzero(lengths))
+            columns = [c.take(line.take(kept)) for c in batch.columns[:-1]]
+            made = (pa.array(number.astype(np.int32)), text, pa.array((before - before[first]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*columns, *(c.take(kept) for c in made)], names=[*keys, "word_no", "text", "col_no"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{kinds}, word_no int, text string, col_no int")
 
 
 def in_range(docs: DataFrame, start: int, end: int) -> DataFrame:
@@ -84,13 +103,25 @@ def joined_lines(marks_df: DataFrame) -> DataFrame:
     return marks_df.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
 
 
-def words_by_gap(chars: DataFrame, keys: list[str], gap: float) -> DataFrame:
-    """Characters (keys, llx, urx, text) joined to words where the gap to the one before is at most ``gap``."""
-    w = Window.partitionBy(*keys).orderBy("llx", "urx")
-    start = F.when(F.col("llx") - F.lag("urx").over(w) > gap, 1).otherwise(0)
-    numbered = chars.withColumn("_start", start).withColumn("word_no", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.array_sort(F.collect_list(F.struct("llx", "urx", "text")))
-    return numbered.groupBy(*keys, "word_no").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"), F.min("llx").alias("llx"), F.max("urx").alias("urx"))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often the use's own functions read it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def words_by_gap(chars: Column, gap: float) -> Column:
+    """Characters (an array of structs llx, urx, text) joined to words (text, llx, urx) where the gap to the one before is at most ``gap``."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def word(own: Column) -> Column:
+        text = F.array_join(F.transform(own, lambda x: x["text"]), "")
+        return F.struct(text.alias("text"), F.get(own, F.lit(0))["llx"].alias("llx"), F.array_max(F.transform(own, lambda x: x["urx"])).alias("urx"))
+
+    def parted(ordered: Column) -> Column:
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(none)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i)["llx"] - F.get(ordered, i - 1)["urx"] > gap))
+        return bound(starts, lambda s: F.zip_with(s, F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))), lambda i, j: word(F.slice(ordered, i + 1, F.coalesce(j, F.size(ordered)) - i))))
+
+    return bound(F.array_sort(chars), parted)
 
 
 def dehyphenated(lines_df: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,23 +21,18 @@ def resolve_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT r_regionkey AS root, CAST(count(*) AS BIGINT) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def resolve_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that a region reaches through nations, by a recursive query."""
-    for t in ("region", "nation", "customer"):
-        table(spark, sf_dir, t).createOrReplaceTempView(f"quire_{t}")
-    return spark.sql(
-        """WITH RECURSIVE edges AS (
-             SELECT concat('r', n_regionkey) AS src, concat('n', n_nationkey) AS dst FROM quire_nation
-             UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM quire_customer
-           ), walk(root, node, depth) AS (
-             SELECT r_regionkey, concat('r', r_regionkey), 0 FROM quire_region
-             UNION ALL SELECT root, dst, depth + 1 FROM walk JOIN edges ON node = src WHERE depth < 3
-           ) SELECT root, count(*) AS n FROM walk WHERE node LIKE 'c%' GROUP BY root"""
-    )
+    """Customers that a region reaches through nations."""
+    nations, customers = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    edges = nations.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    edges = edges.unionByName(customers.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst")))
+    roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("root"))
+    found = G.reachable(edges, roots, 3).filter(F.col("node").startswith("c"))
+    return found.groupBy(F.substring("root", 2, 10).cast("int").alias("root")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 7 % 50 + 1 AS dst FROM part WHERE p_partkey <= 50),
-    w AS (SELECT 1::BIGINT AS root, 1::BIGINT AS node, 0 AS depth UNION ALL SELECT root, dst, depth + 1 FROM w JOIN e ON node = src WHERE depth < 12)
+    """WITH RECURSIVE e AS (SELECT p_partkey AS src, CAST(floor((p_partkey - 1) / 50) AS BIGINT) * 50 + p_partkey * 7 % 50 + 1 AS dst FROM part),
+    w AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part UNION ALL SELECT root, dst, depth + 1 FROM w JOIN e ON node = src WHERE depth < 12)
     SELECT root, node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY 1, 2"""
 )
 def reachable_with_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +94,7 @@ def diff_permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("level", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("errors"), (F.sum(bad) == 0).alias("permitted"))
 
 
-@query("SELECT 1 AS source_idx, page_id FROM pages WHERE page_id < 10 UNION ALL SELECT 2, page_id FROM pages WHERE page_id >= 40 UNION ALL SELECT 3, page_id FROM pages WHERE page_id = 7")
+@query("SELECT CAST(page_id % 3 + 1 AS INT) AS source_idx, page_id FROM pages")
 def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of three documents in input order; every page is in one of them."""
     p = table(spark, sf_dir, "pages").select("page_id")

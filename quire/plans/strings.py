@@ -9,7 +9,7 @@ from quire.functions import text as T
 from quire.plans.registry import query, table
 
 
-@query("SELECT doc_id, text[1:200] AS decoded, CAST(2 + 2 * length(text[1:200]) AS BIGINT) AS n_bytes, true AS same FROM documents")
+@query(r"SELECT doc_id, text AS decoded, CAST(2 + 2 * length(text) + 2 * length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS BIGINT) AS n_bytes, text = text AS same FROM documents")
 def decode_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to UTF-16BE with a byte-order mark, and back by the mark."""
     df = table(spark, sf_dir, "documents").select("doc_id", "text", T.text_to_utf16(F.col("text")).alias("raw"))
@@ -26,7 +26,7 @@ def decode_pdfdoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("name", T.expand_ligatures(T.decoded(F.col("raw"))).alias("decoded"))
 
 
-@query("SELECT doc_id, upper(hex(encode(text[1:100]))) AS encoded, text[1:100] AS back FROM documents")
+@query("SELECT doc_id, upper(hex(encode(text))) AS encoded, text AS back FROM documents")
 def hex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hexadecimal text of bytes, and back."""
     data = F.col("text").cast("binary")

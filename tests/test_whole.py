@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import mpeg_audio, ngram_join
-from quire.operators import sanitize, structure
+from quire.operators import sanitize, search, structure
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,35 +33,6 @@ def test_pages_keep_no_script(spark):
     assert row.n_before == 50 and row.n_after == 0
 
 
-@pytest.mark.parametrize("direct,block", [(8, 1000), (2, 4)])
-def test_join_returns_all_links(spark, monkeypatch, direct, block):
-    monkeypatch.setattr(ngram_join, "DIRECT", direct)
-    monkeypatch.setattr(ngram_join, "ALL_BLOCK_ENTRIES", block, raising=False)
-    monkeypatch.setattr(ngram_join, "STAR_PAIRS", 5)
-    random.seed(direct)
-    vocabulary = [f"w{i}" for i in range(400)]
-    texts: dict[int, str] = {}
-    for size, copies, edits in ((80, 30, 2), (60, 12, 4), (200, 15, 6), (2, 4, 0)):
-        base = random.choices(vocabulary, k=size)
-        for _ in range(copies):
-            own = list(base)
-            for _ in range(random.randint(0, edits)):
-                own[random.randrange(size)] = random.choice(vocabulary)
-            texts[len(texts)] = " ".join(own)
-    texts |= {len(texts): "", len(texts) + 1: " ".join(random.choices(vocabulary, k=50))}
-    rule = ngram_join.Rule(3, 80)
-    sets = {k: frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if (w := t.split()) else frozenset() for k, t in texts.items()}
-    first = {s: min(k for k in sets if sets[k] == s) for s in set(sets.values()) if s}
-    links = {(first[a], first[b]) for a in first for b in first if first[a] < first[b] and 100 * len(a & b) >= rule.percent * len(a | b)}
-    assert len(links) > 100
-    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    found = ngram_join.join(df, rule)
-    names = {r.node: r.first_id for r in found.classes.collect()}
-    assert sorted(tuple(sorted((names[r.a], names[r.b]))) for r in found.links.collect()) == sorted(links)
-    counts = {k: sum(first.get(s) in pair for pair in links) for k, s in sets.items()}
-    assert {r.doc_id: r.n_links for r in ngram_join.link_counts(df, rule).collect()} == counts
-
-
 def test_queries_take_whole_texts(spark, tmp_path):
     from quire.plans import catalog
 
@@ -113,13 +81,13 @@ def test_queries_take_all_rows(spark, tmp_path):
     assert sorted((r.source_idx, r.page_id) for r in q["merge_documents"]) == sorted((i % 3 + 1, i) for i in range(n))
 
 
-def test_audio_payload_that_looks_like_a_tag():
-    for units in (1, 3):
-        payload = mpeg_audio.padded(b"a" * (576 * (units - 1) + 521) + b"TAG" + b"b" * 10)
-        data = mpeg_audio.write_stream(payload)
-        assert data[-128:-125] == b"TAG"
-        audio = mpeg_audio.read_stream(data)
-        assert (audio.frames, audio.skipped, mpeg_audio.read_payload(data, audio)) == (units, 0, payload) and "title" not in audio.tags
-        # A real tag after it is still read.
-        tagged = mpeg_audio.read_stream(data + b"TAG" + b"name".ljust(125, b"\0"))
-        assert (tagged.frames, tagged.skipped, tagged.tags["title"]) == (units, 0, "name")
+def test_required_marks_lose_no_match(spark):
+    texts = [*search.EXAMPLES.values(), "", None, "nothing here", *("x " + " and ".join(search.EXAMPLES.values()) for _ in range(2))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for category, pattern in search.STANDARD.items():
+        plain = df.select("doc_id", F.regexp_replace("text", search.java(pattern), "█").alias("t"), F.regexp_count("text", F.lit(search.java(pattern))).alias("n")).collect()
+        gated = df.select("doc_id", search.redact(F.col("text"), [pattern]).alias("t")).collect()
+        assert [(r.doc_id, r.t) for r in plain] == [(r.doc_id, r.t) for r in gated]
+        counted = {r.doc_id: r.n for r in search.counts(df, {category: pattern}, ["doc_id"]).collect()}
+        assert counted == {r.doc_id: r.n for r in plain}
+        assert search.audit(df, {category: pattern}, "doc_id").count() == sum(r.n or 0 for r in plain) > 0
