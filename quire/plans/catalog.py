@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quire.plans import (  # noqa: F401  importing registers
     codecs,
+    contents,
     expressions,
     extras,
     forms,

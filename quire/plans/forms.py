@@ -108,7 +108,7 @@ def merge_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cmap_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes to text through a character map given by ranges; misses are counted."""
-    ranges = spark.createDataFrame([(0x61, 0x7A, 0x41), (0x30, 0x39, 0x30)], "low int, high int, first int")
+    ranges = [(0x61, 0x7A, 0x41), (0x30, 0x39, 0x30)]
     return cmap_decode_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", ranges)
 
 
