@@ -79,6 +79,37 @@ def round_to(x: Column, precision: float) -> Column:
     return F.round(x / precision) * precision
 
 
+def round_matrix(m: Column, precision: float) -> Column:
+    """Every entry to a multiple of the precision."""
+    return matrix(*(round_to(m.getField(n), precision) for n in ("a", "b", "c", "d", "tx", "ty")))
+
+
+def rotate_point(x: Number, y: Number, degrees: Number) -> tuple[Column, Column]:
+    """A point turned about the origin; the angle is in degrees."""
+    return apply(rotation(F.radians(_c(degrees))), x, y)
+
+
+def displace(x: Number, y: Number, dx: Number, dy: Number) -> tuple[Column, Column]:
+    return _c(x) + _c(dx), _c(y) + _c(dy)
+
+
+def magnitude(x: Number, y: Number) -> Column:
+    return F.hypot(_c(x), _c(y))
+
+
+def polar_angle(x: Number, y: Number) -> Column:
+    """A vector's angle in radians, in (-pi, pi]."""
+    return F.atan2(_c(y), _c(x))
+
+
+def scale_vector(x: Number, y: Number, factor: Number) -> tuple[Column, Column]:
+    return _c(x) * _c(factor), _c(y) * _c(factor)
+
+
+def from_polar(length: Number, radians: Number) -> tuple[Column, Column]:
+    return _c(length) * F.cos(_c(radians)), _c(length) * F.sin(_c(radians))
+
+
 def distance(x0: Number, y0: Number, x1: Number, y1: Number) -> Column:
     return F.hypot(_c(x0) - _c(x1), _c(y0) - _c(y1))
 

@@ -29,3 +29,25 @@ def reachable(edges: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
         seen = seen.unionByName(fresh)
         frontier = fresh
     return seen
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node of the edges (src, dst) is connected with.
+
+    Nodes' neighbours are tied to the smallest of them, in rounds that each end in a checkpoint, until nothing changes; only minima are gathered by node.
+    """
+    now = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct()
+    state = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        outward = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        nearest = outward.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        inward = outward.join(nearest, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpointed(inward.unionByName(nearest.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct())
+        after = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if after == state:
+            break
+        state = after
+    roots = now.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

@@ -6,6 +6,7 @@ every table carries line and word numbers and character offsets.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -168,3 +169,37 @@ def paginate(items: DataFrame, keys: list[str], order: list[str], height: str, p
     """Adds page (from 0): items are laid below one another by running height; an item starts on the page its end falls on."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return items.withColumn("page", F.floor((F.sum(height).over(w) - F.lit(1e-9)) / page_height).cast("int"))
+
+
+def fit(text: Column, width: int, lines: int) -> tuple[Column, Column]:
+    """(what fits into so many lines, what remains), both as lines of text."""
+    own = wrap(text, width)
+    return (
+        F.array_join(F.slice(own, 1, lines), "\n"),
+        bound(own, lambda x: F.array_join(F.slice(x, F.lit(lines + 1), F.greatest(F.size(x) - lines, F.lit(0))), "\n")),
+    )
+
+
+def width(text: Column, size: float, widths: dict[str, float], default: float) -> Column:
+    """A text's width: its characters' widths in thousandths of the size, summed up."""
+    groups: dict[float, str] = {}
+    for c, w in widths.items():
+        groups[w] = groups.get(w, "") + c
+    known = F.lit(0.0)
+    for w, chars in groups.items():
+        known = known + (F.length(text) - F.length(F.translate(text, chars, ""))) * (w - default)
+    return (F.length(text) * default + known) * size / 1000
+
+
+def visual_order(text: Column, left_to_right: Column) -> Column:
+    """A text in the order that its characters are shown in: right-to-left texts are turned round, but runs of Latin letters and digits in them aren't."""
+
+    @F.arrow_udf("string")
+    def turned(column: pa.Array) -> pa.Array:
+        out = []
+        for t in column.to_pylist():
+            parts = [] if t is None else re.findall(r"[0-9A-Za-z\u00c0-\u024f]+(?:[ .,:/-]+[0-9A-Za-z\u00c0-\u024f]+)*|.", t, re.DOTALL)
+            out.append(None if t is None else "".join(reversed(parts)))
+        return pa.array(out, pa.string())
+
+    return F.when(left_to_right, text).otherwise(turned(text))

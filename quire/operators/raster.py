@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,28 @@ def correlation(a: Column, b: Column) -> Column:
     area = F.bit_count(a) * F.bit_count(b)
     shared = F.bit_count(a.bitwiseAND(b))
     return shared * shared / F.when(area > 0, area).cast("double")
+
+
+def cluster(symbols: DataFrame, key: str, bits: str, threshold: float = 0.95) -> DataFrame:
+    """(key, class_id): symbols (64-bit bitmaps) joined where their correlation reaches the threshold, and all that are connected through others.
+
+    Correlated bitmaps differ in few bits, so of one more band of bits than that at least one is equal in both: pairs meet by equal bands, are
+    made distinct and then scored. Equal bitmaps are one symbol in the join. At thresholds below 0.9 the bands are too short to be selective.
+    """
+    from quire.operators.graph import components
+
+    differing = max(a + b - 2 * math.ceil(math.sqrt(threshold * a * b) - 1e-9) for a in range(1, 65) for b in range(a, min(64, int(a / threshold + 1e-9)) + 1))
+    n = differing + 1
+    shapes = symbols.filter(F.bit_count(bits) > 0).groupBy(F.col(bits).alias("shape")).agg(F.min(key).alias("first"))
+    ends = [64 * i // n for i in range(n + 1)]
+    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.call_function("shiftrightunsigned", "shape", F.lit(lo)).bitwiseAND((1 << (hi - lo)) - 1).alias("b")) for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False))))
+    placed = shapes.select("shape", F.inline(bands))
+    other = placed.select(F.col("shape").alias("other"), "i", "b")
+    pairs = placed.join(other, ["i", "b"]).filter("shape < other").select("shape", "other").distinct()
+    linked = pairs.filter(correlation(F.col("shape"), F.col("other")) >= threshold)
+    labels = components(linked.select(F.col("shape").alias("src"), F.col("other").alias("dst")))
+    named = shapes.join(labels, F.col("shape") == F.col("node"), "left").select("shape", "first", F.coalesce("label", "shape").alias("label"))
+    classes = named.groupBy(F.col("label").alias("l")).agg(F.min("first").alias("class_id"))
+    of_shape = named.join(classes, F.col("label") == F.col("l")).select("shape", "class_id")
+    # Empty bitmaps are like nothing; each is a class of its own.
+    return symbols.join(of_shape, F.col(bits) == F.col("shape"), "left").select(key, F.coalesce("class_id", key).alias("class_id"))

@@ -57,3 +57,15 @@ def numbering(headings: DataFrame, keys: list[str], order: str, level: str) -> D
     inner = Window.partitionBy(*keys, "_one").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     two = F.sum(F.when(F.col(level) == 2, 1).otherwise(0)).over(inner)
     return df.withColumn("number", F.when(F.col(level) == 1, F.col("_one").cast("string")).otherwise(F.concat_ws(".", F.col("_one"), two))).drop("_one")
+
+
+def skip_rows(cells: DataFrame, after: int, n: int) -> DataFrame:
+    """Cells (y, x) below row ``after`` moved down by n rows."""
+    return cells.withColumn("y", F.when(F.col("y") > after, F.col("y") + n).otherwise(F.col("y")))
+
+
+def add_subtable(cells: DataFrame, inner: DataFrame, y: int, x: int) -> DataFrame:
+    """A table's cells and another's, placed at (y, x); where both have a cell the inner one's stays."""
+    moved = inner.withColumns({"y": F.col("y") + y, "x": F.col("x") + x})
+    keys = [c for c in cells.columns if c != "text"]
+    return cells.join(moved.select(*keys), keys, "left_anti").unionByName(moved.select(*cells.columns))

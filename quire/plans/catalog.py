@@ -11,6 +11,7 @@ from quire.plans import (  # noqa: F401  importing registers
     geometry,
     graphs,
     layout,
+    more,
     objects,
     optimize,
     raster,
