@@ -8,7 +8,9 @@ entries from the edit to the point where both tables agree again are computed an
 Texts are cut into pieces by the tokenizer's pattern, and each piece is encoded by itself. A text is first cut where a white-space
 run begins, which is always a border of pieces, and the encodings of short cuts are cached in a bounded table.
 
-Defined results: null text is empty and has no token; no special token is ever produced; an empty table gives no row.
+Defined results: null text is empty and has no token; no special token is ever produced; a text of any length is encoded as a whole, its ids in
+memory of one task; encodings have no ties (a prefix has one valid last token); repeated rows get equal ids; an empty table gives no row; other
+columns are ignored.
 """
 
 from __future__ import annotations

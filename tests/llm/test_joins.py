@@ -121,3 +121,36 @@ def test_key_filter_holds_every_key(spark, monkeypatch, most):
     hit = common.key_filter(keys)
     passed = collections.Counter(r.id < 5000 for r in spark.range(20_000).filter(hit(F.xxhash64("id"))).collect())
     assert passed[True] == 5000 and (passed[False] < 200 or most == 1)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing names, and an empty table, through all stages as run() does."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = docs.filter("lang = 'en' and length(text) between 800 and 3000").orderBy("doc_id").first().text
+    odd = [(-1, text + " One more."), (-2, text), (-2, text), (None, text.replace(" ", "\n")), (-3, None), (-4, ""), (-5, " \n\t"), (-6, "12345 !?"), (-7, text * 200)]
+    rows = spark.createDataFrame([(i, t, "en", "odd", None) for i, t in odd], docs.schema)
+    table = docs.filter(~docs.text.contains(text)).unionByName(rows).selectExpr("*", "1 as `x.y`", "2 as _id", "'t' as th", "true as _hit", "0 as node")
+    columns = table.columns
+    for name, stage in corpus_pipeline.STAGES:
+        table = stage(spark, table, sf)
+        if name != "packing":
+            assert table.columns == columns, name
+        path = str(tmp_path / name)
+        table.write.parquet(path)
+        table = spark.read.parquet(path)
+        ids = [r.doc_id for r in table.select("doc_id").collect()]
+        if name == "language_id":
+            assert not {-3, -4, -5, -6} & set(ids)
+        if name == "exact_dedup":
+            assert ids.count(-2) == 1 and None not in ids and {-1, -7} <= set(ids)
+        if name == "ngram_join":
+            # The long text repeats the short one's shingles, so its set is nearly the same.
+            assert len({-1, -2, -7} & set(ids)) == 1 and -7 in ids
+    assert table.filter("doc_id = -7").count() > 0
+    none = docs.filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, sf)
+        assert none.count() == 0, name
