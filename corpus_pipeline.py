@@ -1,6 +1,10 @@
 """Corpus pipeline: toxicity, language, exact copies, near copies, packing.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``docs``.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``docs``, whatever their names.
+
+Defined results, by the operators' own rules: a null text counts as empty; it isn't toxic, but has no language and goes at the language stage, as do texts
+without a letter; of equal texts the longest, then the one with the smallest doc_id stays (null ids last); of near copies that with the smallest
+doc_id; of repeated rows one stays; texts of any length are treated as a whole; an empty table gives no row.
 """
 
 from __future__ import annotations
