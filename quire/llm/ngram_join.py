@@ -45,6 +45,8 @@ RANGES, STAR_PAIRS = 128, 500
 DIRECT, BLOCK_ENTRIES = 8, 2_000
 #: Entries of one n-gram, by the sketch's count, that may come to one task while entries are sorted.
 PIECE_ENTRIES = 50_000
+#: Pairs that are looked at in one step.
+CHUNK_PAIRS = 200_000
 #: Frequent n-grams before an entry's own that the entry knows; a pair that shares one of them has met there.
 KNOWN_BEFORE = 4
 #: Words whose hashes a Python worker remembers.
@@ -301,29 +303,38 @@ class _Block:
         self.size, self.sig = self.at >> 32, _signatures(table.column("sig"))
         before = table.column("before").combine_chunks()
         self.before = before.flatten().to_numpy(zero_copy_only=False).reshape(-1, KNOWN_BEFORE)
-        self.known = self.before != _NONE
-
-    def candidates(self, x: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of the entries y that may be similar to x, with the members that they may differ in beyond the signatures' difference."""
-        y = y[_passes(self.rule, np.full(len(y), self.at[x]), self.at[y])]
-        if not len(y):
-            return y, y
-        size = self.size[x] + self.size[y]
-        room = size - 2 * self.rule.overlap(self.size[x], self.size[y]) - np.abs(self.sig[y] - self.sig[x]).sum(axis=1)
-        return y[room >= 0], room[room >= 0]
-
-    def near(self, x: int) -> np.ndarray:
-        """Entries of similar length."""
+
+    def candidates(self, xs: np.ndarray, later: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (x, y) of entries of similar length that pass, by bounded numbers; with ``later`` only those with y behind x."""
         percent = self.rule.percent
-        return np.arange(*np.searchsorted(self.size, [-(-self.size[x] * percent // 100), self.size[x] * 100 // percent + 1]))
+        lo = xs + 1 if later else np.searchsorted(self.size, -(-self.size[xs] * percent // 100))
+        n = np.maximum(np.searchsorted(self.size, self.size[xs] * 100 // percent, "right") - lo, 0)
+        ends, start = np.cumsum(n), 0
+        while start < len(xs):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK_PAIRS, "right")))
+            each = n[start:stop]
+            x = np.repeat(xs[start:stop], each)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(each) - each - lo[start:stop], each)
+            ok = _passes(self.rule, self.at[x], self.at[y])
+            yield x[ok], y[ok]
+            start = stop
+
+    def room(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Members that the pairs' sets may still differ in beyond their signatures' difference; below 0 they can't be similar."""
+        out = np.empty(len(x), np.int64)
+        for i in range(0, len(x), CHUNK_PAIRS // 10):
+            a, b = x[i : i + CHUNK_PAIRS // 10], y[i : i + CHUNK_PAIRS // 10]
+            size = self.size[a] + self.size[b]
+            out[i : i + len(a)] = size - 2 * self.rule.overlap(self.size[a], self.size[b]) - np.abs(self.sig[a] - self.sig[b]).sum(axis=1)
+        return out
 
-    def first_met(self, x: int, y: np.ndarray) -> np.ndarray:
-        """Those of the entries y that aren't known to share an earlier frequent n-gram with x."""
-        same = (self.before[y][:, :, None] == self.before[x][None, None, :]) & self.known[x][None, None, :]
-        return y[~same.any(axis=(1, 2))]
+    def first_met(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs aren't known to share an earlier frequent n-gram."""
+        same = (self.before[y][:, :, None] == self.before[x][:, None, :]) & (self.before[x] != _NONE)[:, None, :]
+        return ~same.any(axis=(1, 2))
 
-    def pairs(self, found: list[tuple[int, np.ndarray]]) -> pa.Table:
-        a = np.concatenate([np.full(len(y), self.node[x]) for x, y in found]) if found else np.zeros(0, np.int64)
+    def pairs(self, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        a = np.concatenate([self.node[x] for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([self.node[y] for _, y in found]) if found else np.zeros(0, np.int64)
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
@@ -374,13 +385,12 @@ def _nearest_pairs(placed: DataFrame, rule: Rule) -> DataFrame:
     def nearest(table: pa.Table) -> pa.Table:
         block = _Block(table, rule)
         found = [np.zeros((3, 0), np.int64)]
-        for x in range(len(block.at)):
-            y = block.near(x)
-            y, room = block.candidates(x, y[y > x])
-            found.append(np.stack([np.full(len(y), x), y, room]))
+        for x, y in block.candidates(np.arange(len(block.at)), True):
+            room = block.room(x, y)
+            found.append(np.stack([x, y, room])[:, room >= 0])
         x, y, room = np.concatenate(found, axis=1)
         kept = _forest(len(block.at), x, y, room)
-        return block.pairs([(int(a), np.array([b])) for a, b in zip(x[kept], y[kept], strict=True)])
+        return block.pairs([(x[kept], y[kept])])
 
     return dealt.groupBy("h", "block").applyInArrow(nearest, "a bigint, b bigint")
 
@@ -419,13 +429,15 @@ def _dealt_pairs(placed: DataFrame, labels: DataFrame | None, rule: Rule) -> Dat
         across = table.column("kind")[0].as_py() == 1 or table.column("i")[0].as_py() != table.column("j")[0].as_py()
         block = _Block(table, rule)
         found = []
-        for x in np.flatnonzero(block.side == 0) if across else range(len(block.at)):
-            y = block.near(x)
-            y = y[(block.side[y] > 0) if across else y > x]
-            y, _ = block.candidates(x, y[block.comp[y] != block.comp[x]])
-            y = block.first_met(x, y)
-            if len(y):
-                found.append((x, y))
+        for x, y in block.candidates(np.flatnonzero(block.side == 0) if across else np.arange(len(block.at)), not across):
+            ok = block.comp[x] != block.comp[y]
+            if across:
+                ok &= block.side[y] > 0
+            x, y = x[ok], y[ok]
+            ok = block.first_met(x, y)
+            x, y = x[ok], y[ok]
+            ok = block.room(x, y) >= 0
+            found.append((x[ok], y[ok]))
         return block.pairs(found)
 
     return dealt.groupBy("h", "kind", "i", "j").applyInArrow(pair, "a bigint, b bigint")
