@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import checkpointed
+
 #: Units of a column and of a line.
 ADVANCE, LEADING = 10.0, 12.0
 
@@ -165,10 +167,26 @@ def wrap(text: Column, width: int) -> Column:
     return F.aggregate(parts, start, add, lambda s: F.when(s["now"] == "", s["out"]).otherwise(F.array_append(s["out"], s["now"])))
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums (inclusive) by key and order. A key may hold any share of the rows: ranges of (key, order) are summed by themselves, and only
+    the ranges' totals, one row for each key and range, meet by key."""
+    # The ranges come from a sample, so they must be the same rows for both uses.
+    ranged = checkpointed(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range", *keys).agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    totals = totals.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    match = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        match &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    own = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(totals, match)
+    return own.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).select(*df.columns, *sums)
+
+
 def paginate(items: DataFrame, keys: list[str], order: list[str], height: str, page_height: float) -> DataFrame:
     """Adds page (from 0): items are laid below one another by running height; an item starts on the page its end falls on."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("page", F.floor((F.sum(height).over(w) - F.lit(1e-9)) / page_height).cast("int"))
+    df = running_sums(items, keys, order, {"_end": F.col(height)})
+    return df.withColumn("page", F.floor((F.col("_end") - F.lit(1e-9)) / page_height).cast("int")).drop("_end")
 
 
 def fit(text: Column, width: int, lines: int) -> tuple[Column, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.layout import running_sums
+
 #: Tags that never close.
 VOID = ("meta", "br", "hr", "img", "input", "link", "!doctype")
 TAG = r"<(/?)([A-Za-z!][A-Za-z0-9]*)([^>]*)>"
@@ -51,12 +53,12 @@ def row_major(cells: DataFrame, keys: list[str], order: list[str], columns: int)
 
 def numbering(headings: DataFrame, keys: list[str], order: str, level: str) -> DataFrame:
     """Adds number: hierarchical ('2.1'), from heading levels 1 and 2 in order."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    one = F.sum(F.when(F.col(level) == 1, 1).otherwise(0)).over(w)
-    df = headings.withColumn("_one", one)
-    inner = Window.partitionBy(*keys, "_one").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    two = F.sum(F.when(F.col(level) == 2, 1).otherwise(0)).over(inner)
-    return df.withColumn("number", F.when(F.col(level) == 1, F.col("_one").cast("string")).otherwise(F.concat_ws(".", F.col("_one"), two))).drop("_one")
+    df = running_sums(headings, keys, [order], {"_one": F.when(F.col(level) == 1, 1).otherwise(0), "_two": F.when(F.col(level) == 2, 1).otherwise(0)})
+    # The headings of a chapter are few, so what came before it is found among them: at its own heading, or nothing before the first one.
+    inner = Window.partitionBy(*keys, "_one")
+    first = F.min(F.when(F.col(level) == 1, F.col("_two"))).over(inner)
+    two = F.col("_two") - F.coalesce(first, F.lit(0))
+    return df.withColumn("number", F.when(F.col(level) == 1, F.col("_one").cast("string")).otherwise(F.concat_ws(".", F.col("_one"), two))).drop("_one", "_two")
 
 
 def skip_rows(cells: DataFrame, after: int, n: int) -> DataFrame:
