@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, checkpointed, keep_rows, quoted, rows_of
+from quire.llm.common import bound_batches, checkpointed, keep_rows, quoted, rows_of, tidied
 
 #: Characters that don't count in the comparison, as a pattern.
 IGNORED = r"[\x20\x09-\x0D]+"
@@ -122,7 +122,7 @@ def merge_tree(base: DataFrame, shard_rows: int = SHARD_ROWS, fan_in: int = FAN_
         yield from flush(held)
 
     bound_batches(base.sparkSession)
-    runs = source.mapInArrow(sorted_runs, _ENTRY)
+    runs = source.mapInArrow(tidied(sorted_runs), _ENTRY)
 
     def merge(table: pa.Table) -> pa.Table:
         """Multiway merge of a shard's runs that meet in this round."""

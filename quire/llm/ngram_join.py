@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, checkpointed, emit_blocks, keep_rows, key_filter, map_batches, merge_blocks, release, strings
+from quire.llm.common import bound_batches, checkpointed, emit_blocks, give_back, keep_rows, key_filter, map_batches, merge_blocks, release, strings, tidied
 
 #: Counters of the sketch, in blocks.
 SKETCH, BLOCK = 1 << 18, 1 << 14
@@ -102,7 +102,7 @@ class Shingler:
 
 def _arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 # --------------------------------------------------------------------------- counts
@@ -390,7 +390,11 @@ def _nearest_pairs(placed: DataFrame, rule: Rule) -> DataFrame:
             found.append(np.stack([x, y, room])[:, room >= 0])
         x, y, room = np.concatenate(found, axis=1)
         kept = _forest(len(block.at), x, y, room)
-        return block.pairs([(x[kept], y[kept])])
+        out = block.pairs([(x[kept], y[kept])])
+        if len(x) > CHUNK_PAIRS:
+            del block, found, x, y, room
+            give_back()
+        return out
 
     return dealt.groupBy("h", "block").applyInArrow(nearest, "a bigint, b bigint")
 

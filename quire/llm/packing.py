@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bound_batches, strings
+from quire.llm.common import bound_batches, strings, tidied
 
 TIERS = (256, 512, 1024, 2048)
 #: The id that closes a document.
 END_ID = 1
 #: Tokens packed in one round of a task, and sequences in a step group.
 ROUND_TOKENS, STEP_SEQUENCES = 2_000_000, 64
-#: Entries of the token cache of a Python worker, and the longest cached word.
+#: Entries of the token cache of a task, and the longest cached word.
 MAX_CACHED, CACHED_CHARS = 1_000_000, 40
 
 #: Characters that str.isspace and the tokenizer take differently.
@@ -312,6 +312,12 @@ def pack_documents(
         context = TaskContext.get()
         partition = context.partitionId() if context else 0
         tokenizer = load(tokenizer_path)
+        try:
+            yield from packed(tokenizer, partition, batches)
+        finally:  # the worker goes on to other stages
+            tokenizer.cache.clear()
+
+    def packed(tokenizer: WordTokenizer, partition: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, bytes]] = []
         tokens = number = 0
         for batch in batches:
@@ -325,4 +331,4 @@ def pack_documents(
             yield from flush(held, partition, number)
 
     bound_batches(docs.sparkSession)
-    return source.mapInArrow(run, PIECES)
+    return source.mapInArrow(tidied(run), PIECES)

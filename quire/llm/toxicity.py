@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, map_batches, strings
+from quire.llm.common import held_out, map_batches, strings, tidied
 
 #: Labelled rows of each class that are sampled, features of the model, and rows of a class that a feature needs.
 SAMPLE_ROWS, MAX_FEATURES, MIN_ROWS = 6000, 4000, 5
@@ -189,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 part = names[i : i + 50_000]
                 yield pa.RecordBatch.from_pydict({"feature": part, "toxic": [seen[1][f] for f in part], "clean": [seen[0][f] for f in part]})
 
-        counts = texts.mapInArrow(count, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        counts = texts.mapInArrow(tidied(count), "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         # Features that are more frequent in toxic rows, those with the largest likelihood ratio; and the identity terms.
         own = F.col("feature").isin(*_CATEGORY)
         likely = counts.filter((F.col("toxic") + F.col("clean") >= MIN_ROWS) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic) & ~own)
@@ -211,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
             yield pa.RecordBatch.from_pylist([{"own": a, "come": b, "n": n} for (a, b), n in sorted(swaps.items())], schema=schema)
 
-        got = texts.mapInArrow(vectors, "label int, own array<int>, come array<int>, n bigint").collect()  # bounded by the sample
+        got = texts.mapInArrow(tidied(vectors), "label int, own array<int>, come array<int>, n bigint").collect()  # bounded by the sample
     finally:
         texts.unpersist()
     rows = sorted([(r["own"], r["label"]) for r in got if r["n"] is None], key=lambda x: (x[1], x[0]))

@@ -452,3 +452,27 @@ def test_pipeline(spark):
     expected = set(_components(_sets(left, 5), 80).values())
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == expected
+
+
+def test_a_worker_keeps_no_words_and_gives_memory_back(spark, monkeypatch):
+    """Workers kept every stage's words, so that a run of all stages outgrew an executor's memory."""
+    import pyarrow as pa
+
+    from quire.llm import common, packing
+
+    path = P.path("word_bpe_49k.json")
+    docs = spark.range(0, 400, numPartitions=4).selectExpr("id AS doc_id", "concat('word', id, ' and other', id * 7) AS text")
+    assert packing.pack_documents(docs, path).count() >= 400
+
+    def probe(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing.load(path).cache)] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert spark.range(0, 64, numPartitions=16).mapInArrow(probe, "n bigint").agg({"n": "max"}).first()[0] == 0
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append(True))
+    assert list(common.tidied(lambda batches: (x for x in batches))(iter([1, 2]))) == [1, 2] and seen == [True]
+    with pytest.raises(ZeroDivisionError):
+        list(common.tidied(lambda batches: (1 // x for x in batches))(iter([0])))
+    assert len(seen) == 2
